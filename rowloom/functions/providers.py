@@ -64,7 +64,7 @@ class Draws:
 
     seed: int
     tag: str
-    key: Column
+    key: str
     locale: str = "en_US"
 
     def uniform(self, part: str = "") -> Column:
@@ -141,7 +141,7 @@ def url(d: Draws) -> Column:
 
 def uuid(d: Draws) -> Column:
     """128 bits from the whole key, so no two rows share one."""
-    digest = F.md5(F.concat(F.lit(f"{d.seed}/{d.tag}/"), d.key.cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{d.seed}/{d.tag}/"), F.expr(d.key).cast("string")))
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 

@@ -25,14 +25,14 @@ def half_up(value: Column, digits: int = 0) -> Column:
     return F.floor(value * scale + 0.5) / F.lit(scale)
 
 
-def gaussian(seed: int, tag: str, key: Column) -> Column:
+def gaussian(seed: int, tag: str, key: str) -> Column:
     """Standard normal by the Box-Muller transform of two independent draws."""
     radius = (rng.draw(seed, tag + ".radius", key) + 1) / F.lit(float(rng.TWO32))
     angle = rng.uniform(seed, tag + ".angle", key)
     return F.sqrt(F.lit(-2.0) * F.log(radius)) * F.cos(F.lit(2.0 * math.pi) * angle)
 
 
-def apply_shape(base: Column, kind: str, shape: Shape, seed: int, tag: str, key: Column) -> Column:
+def apply_shape(base: Column, kind: str, shape: Shape, seed: int, tag: str, key: str) -> Column:
     """The shaped value; ``kind`` is the logical type of the base column."""
     params = shape.params
     name = shape.kind.lower()
@@ -68,7 +68,7 @@ def apply_shape(base: Column, kind: str, shape: Shape, seed: int, tag: str, key:
         head = F.coalesce(number, F.lit(0.0)) * F.lit(float(params.get("head_scale", 1.0))) * size
         filled = F.when(F.coalesce(number, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(number)
         tail = filled * F.lit(float(params.get("tail_scale", 10.0))) * (F.lit(1.0) + size)
-        in_head = rng.uniform(seed, tag + ".part", key) < F.lit(float(params.get("head_ratio", 0.9)))
+        in_head = rng.below(params.get("head_ratio", 0.9), seed, tag + ".part", key)
         return _like(F.when(in_head, head).otherwise(tail), whole)
 
     return base

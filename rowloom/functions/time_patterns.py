@@ -15,22 +15,23 @@ PATTERNS = ("steady", "burst", "seasonal", "growth")
 RISING = ("growth",)
 
 
-def offset_micros(pattern: str, position: Column, count: int, span_micros: int, seed: int) -> Column:
+def offset_micros(pattern: str, position: str, count: int, span_micros: int, seed: int) -> Column:
     """Offset of the event at ``position`` among ``count`` events."""
     span = F.lit(float(span_micros))
     u = rng.uniform(seed, f"time.{pattern}", position)
+    at = F.expr(position)
     if pattern == "burst":
         quiet = count - int(count * 0.3)
         late = span * F.lit(0.9) + span * F.lit(0.1) * u
-        return F.floor(F.when(position < quiet, span * u).otherwise(late))
+        return F.floor(F.when(at < quiet, span * u).otherwise(late))
     if pattern == "seasonal":
-        share = position.cast("double") / F.lit(float(max(count, 1)))
+        share = at.cast("double") / F.lit(float(max(count, 1)))
         quarter = F.floor(share * 4.0).cast("int")
         weight = F.when(quarter % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.65))
         jitter = span * F.lit(0.05) * (u - 0.5) * weight
         return F.floor(F.least(span, F.greatest(F.lit(0.0), span * share + jitter)))
     if pattern == "growth":
-        share = F.sqrt((position.cast("double") + u) / F.lit(float(max(count, 1))))
+        share = F.sqrt((at.cast("double") + u) / F.lit(float(max(count, 1))))
         return F.floor(span * F.least(F.lit(1.0), share))
     return F.floor(span * u)
 

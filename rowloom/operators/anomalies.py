@@ -43,16 +43,15 @@ def plant(
     text cell; an invalid enum value needs a text column to hold it.
     """
     cells = [k for k in kinds if k != DUPLICATE_ROW]
-    position = F.col(key)
     names = [c for c in df.columns if c not in skip]
     texts = text_columns(df, skip)
     filled = sum((F.col(c).isNotNull().cast("int") for c in texts), F.lit(0))
     staged = df.withColumns(
         {
-            "_kind": F.when(hit, rng.choose(seed, f"{table}.anomaly.kind", position, list(kinds))),
-            "_any": rng.index_below(seed, f"{table}.anomaly.column", position, max(len(names), 1)),
-            "_enum": rng.index_below(seed, f"{table}.anomaly.enum", position, max(len(texts), 1)),
-            "_text": F.shiftright(rng.draw(seed, f"{table}.anomaly.text", position) * filled, 32),
+            "_kind": F.when(hit, rng.choose(seed, f"{table}.anomaly.kind", key, list(kinds))),
+            "_any": rng.randint(seed, f"{table}.anomaly.column", key, 0, max(len(names), 1) - 1),
+            "_enum": rng.randint(seed, f"{table}.anomaly.enum", key, 0, max(len(texts), 1) - 1),
+            "_text": F.shiftright(rng.draw(seed, f"{table}.anomaly.text", key) * filled, 32),
         }
     )
     kind = F.col("_kind")
@@ -97,11 +96,10 @@ def inject_anomalies(
     """A mix of anomalies in about ``ratio`` of the rows, or in exactly the ``hit`` rows."""
     if ratio <= 0:
         return df
-    position = F.col(key)
     if hit is None:
-        hit = rng.uniform(seed, f"{table}.anomaly.row", position) < F.lit(float(ratio))
+        hit = rng.below(ratio, seed, f"{table}.anomaly.row", key)
     planted = plant(df, key, hit, kinds, seed, table, skip)
     if DUPLICATE_ROW not in kinds:
         return planted
-    copied = hit & (rng.choose(seed, f"{table}.anomaly.kind", position, list(kinds)) == DUPLICATE_ROW)
+    copied = hit & (rng.choose(seed, f"{table}.anomaly.kind", key, list(kinds)) == DUPLICATE_ROW)
     return append_duplicates(planted, copied)

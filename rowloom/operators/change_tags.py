@@ -44,7 +44,7 @@ def tag_cdc(
 ) -> DataFrame:
     """Add the incremental columns, ``op_type`` and a ``deleted_at`` that is null unless deleted."""
     created = _load_time(F.col(index), seed)
-    roll = rng.randint(seed, f"{table}.cdc.op", F.col(index), 0, 99)
+    roll = rng.randint(seed, f"{table}.cdc.op", index, 0, 99)
     marked = df.withColumns(
         {
             "created_at": created,

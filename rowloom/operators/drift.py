@@ -108,5 +108,8 @@ def drift_log(spark: SparkSession, events: Sequence[DriftEvent]) -> DataFrame:
     return spark.createDataFrame(rows, LOG_SCHEMA)
 
 
-def drift_summary(log: DataFrame) -> DataFrame:
-    return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+def drift_summary(log: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Events per type and the rows of the tables they touched; ``sizes`` holds row counts."""
+    return log.join(sizes, "table_name").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("row_count").alias("affected_rows")
+    )

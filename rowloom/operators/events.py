@@ -22,7 +22,7 @@ def event_times(
     df: DataFrame, position: str, count: int, pattern: str, start: str, span_micros: int, seed: int
 ) -> DataFrame:
     """Add ``ts`` to rows that hold event positions ``0 .. count-1``."""
-    offset = offset_micros(pattern, F.col(position), count, span_micros, seed)
+    offset = offset_micros(pattern, position, count, span_micros, seed)
     return df.withColumn("_offset", offset).withColumn("ts", at_offset(start, F.col("_offset"))).drop("_offset")
 
 
@@ -41,12 +41,12 @@ def generate_events(
     else:
         numbered = dense_index(timed, ["ts", "_at"], "event_no")
     number = F.col("event_no")
-    entity = rng.randint(seed, "event.entity", number, 1, max(1, count // 10))
+    entity = rng.randint(seed, "event.entity", "event_no", 1, max(1, count // 10))
     return numbered.select(
         number,
         F.concat(F.lit("evt_"), F.lpad(number.cast("string"), 8, "0")).alias("event_id"),
         "ts",
-        rng.choose(seed, "event.type", number, types).alias("event_type"),
+        rng.choose(seed, "event.type", "event_no", types).alias("event_type"),
         F.concat(F.lit("entity_"), entity.cast("string")).alias("entity_id"),
     )
 
@@ -57,10 +57,9 @@ def late_arrivals(df: DataFrame, key: str, ratio: float, seed: int, time: str =
     ``late_arrival`` and ``event_ts_original`` exist for all events; the original time
     is null where nothing was delayed.
     """
-    position = F.col(key)
     low, high = (s * 1000 for s in LATE_SECONDS)
-    delay = rng.randint(seed, "late.delay", position, low, high)
-    late = df.withColumn("late_arrival", rng.uniform(seed, "late.pick", position) < F.lit(float(ratio)))
+    delay = rng.randint(seed, "late.delay", key, low, high)
+    late = df.withColumn("late_arrival", rng.below(ratio, seed, "late.pick", key))
     shifted = F.col(time) + F.make_dt_interval(secs=(delay / F.lit(1000).cast("decimal(10,0)")).cast("decimal(12,6)"))
     return late.withColumn("event_ts_original", F.when(F.col("late_arrival"), F.col(time))).withColumn(
         time, F.when(F.col("late_arrival"), shifted).otherwise(F.col(time))
@@ -71,7 +70,7 @@ def replay_order(df: DataFrame, position: str, count: int, mode: str, seed: int)
     """Add ``arrival_seq``: as is, shuffled as a whole, or shuffled inside consecutive chunks."""
     if mode == "ordered":
         return df.withColumn("arrival_seq", F.col(position))
-    spread = rng.draw(seed, f"replay.{mode}", F.col(position))
+    spread = rng.draw(seed, f"replay.{mode}", position)
     order: list[Column | str] = [spread, F.col(position)]
     if mode == "windowed":
         width = max(1, count // REPLAY_CHUNKS)
@@ -85,7 +84,7 @@ def support_notes(events: DataFrame, position: str, chosen: Column, seed: int) -
     Ticket numbers follow the event position, so no ranking is needed to number them.
     """
     at = F.col(position)
-    text = rng.choose(seed, "note.template", at, fixed.NOTE_TEMPLATES)
+    text = rng.choose(seed, "note.template", position, fixed.NOTE_TEMPLATES)
     note = F.replace(F.replace(text, F.lit("{event_type}"), F.col("event_type")), F.lit("{entity_id}"), F.col("entity_id"))
     return events.filter(chosen).select(
         F.concat(F.lit("ticket_"), F.lpad(at.cast("string"), 7, "0")).alias("ticket_id"),
@@ -94,7 +93,7 @@ def support_notes(events: DataFrame, position: str, chosen: Column, seed: int) -
         "event_type",
         "ts",
         note.alias("note"),
-        rng.choose(seed, "note.severity", at, fixed.SEVERITIES).alias("severity"),
+        rng.choose(seed, "note.severity", position, fixed.SEVERITIES).alias("severity"),
     )
 
 

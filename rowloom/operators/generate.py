@@ -32,14 +32,14 @@ def row_index(
 
 def key_base(table: str, seed: int) -> int:
     """First surrogate key of a generated table."""
-    return seed + rng.salt(0, table) % 100_000
+    return seed + rng.salts(0, table)[0] % 100_000
 
 
-def surrogate_key(table: str, seed: int, index: Column) -> Column:
-    return index + F.lit(key_base(table, seed))
+def surrogate_key(table: str, seed: int, index: str) -> Column:
+    return F.expr(index) + F.lit(key_base(table, seed))
 
 
-def rule_value(rule: ValueRule, seed: int, tag: str, index: Column, locale: str = "en_US") -> Column:
+def rule_value(rule: ValueRule, seed: int, tag: str, index: str, locale: str = "en_US") -> Column:
     """Column expression of a generation rule."""
     problems = rule_problems(rule)
     if problems:
@@ -50,7 +50,7 @@ def rule_value(rule: ValueRule, seed: int, tag: str, index: Column, locale: str
     elif rule.kind == "uuid":
         value = providers.uuid(providers.Draws(seed, tag, index))
     elif rule.kind == "sequence":
-        value = F.lit(int(params.get("start", 1))) + index * F.lit(int(params.get("step", 1)))
+        value = F.lit(int(params.get("start", 1))) + F.expr(index) * F.lit(int(params.get("step", 1)))
     elif rule.kind == "static":
         value = F.lit(params["value"])
     elif rule.kind == "range":
@@ -59,11 +59,11 @@ def rule_value(rule: ValueRule, seed: int, tag: str, index: Column, locale: str
         value = rng.choose_weighted(seed, tag, index, list(params["choices"]), params.get("weights"))
     chance = params.get("null_probability")
     if chance:
-        value = F.when(rng.uniform(seed, tag + ".null", index) >= F.lit(float(chance)), value)
+        value = F.when(~rng.below(chance, seed, tag + ".null", index), value)
     return value
 
 
-def _between(seed: int, tag: str, index: Column, low: float | None, high: float | None) -> Column:
+def _between(seed: int, tag: str, index: str, low: float | None, high: float | None) -> Column:
     low = 0.0 if low is None else float(low)
     high = 100.0 if high is None else float(high)
     if low == high:
@@ -77,7 +77,7 @@ def _decimals(u: Column, low: float, high: float, digits: int) -> Column:
     return floor_to(F.lit(low) + u * F.lit(high - low), digits)
 
 
-def typed_value(column: ColumnSpec, seed: int, tag: str, index: Column, locale: str = "en_US") -> Column:
+def typed_value(column: ColumnSpec, seed: int, tag: str, index: str, locale: str = "en_US") -> Column:
     """Default value of a column from its hint or logical type."""
     draws = providers.Draws(seed, tag, index, locale)
     hint = (column.hint or "").lower()
@@ -100,7 +100,7 @@ def typed_value(column: ColumnSpec, seed: int, tag: str, index: Column, locale:
     if kind == "percent":
         return _decimals(draws.uniform(), 0.0, 1.0, 4)
     if kind == "boolean":
-        return draws.uniform() < F.lit(0.5)
+        return rng.below(0.5, seed, tag, index)
     if kind == "date":
         return _date(draws)
     if kind in ("datetime", "timestamp"):
@@ -120,11 +120,11 @@ def _date(draws: providers.Draws) -> Column:
     return F.date_add(F.lit("2020-01-01").cast("date"), draws.integer(0, 1825, "day").cast("int"))
 
 
-def _text(column: ColumnSpec, draws: providers.Draws, index: Column) -> Column:
+def _text(column: ColumnSpec, draws: providers.Draws, index: str) -> Column:
     longest = column.max_length or 255
     if column.unique:
         value = F.concat_ws(
-            "_", draws.pick(providers.WORDS, "word"), index.cast("string"),
+            "_", draws.pick(providers.WORDS, "word"), F.expr(index).cast("string"),
             draws.integer(0, 999_999, "suffix").cast("string"),
         )
         return F.substring(value, 1, longest)
@@ -136,7 +136,7 @@ def _text(column: ColumnSpec, draws: providers.Draws, index: Column) -> Column:
     return F.substring(F.repeat(filler, 12), F.lit(1), F.least(length, F.lit(longest)).cast("int"))
 
 
-def column_value(table: TableSpec, column: ColumnSpec, seed: int, index: Column, locale: str) -> Column:
+def column_value(table: TableSpec, column: ColumnSpec, seed: int, index: str, locale: str) -> Column:
     tag = f"{table.name}.{column.name}"
     if column.name in table.primary_key and column.rule is None:
         value = surrogate_key(table.name, seed, index)
@@ -155,12 +155,11 @@ def generate_rows(
     index: str = INDEX,
 ) -> DataFrame:
     """Project every column of the spec over a frame that holds the row index."""
-    position = F.col(index)
     columns = [
-        column_value(table, c, seed, position, locale).cast(LOGICAL_TYPES[c.type]).alias(c.name)
+        column_value(table, c, seed, index, locale).cast(LOGICAL_TYPES[c.type]).alias(c.name)
         for c in table.columns
     ]
-    return indexed.select(*([position.alias(INDEX)] if keep_index else []), *columns)
+    return indexed.select(*([F.expr(index).alias(INDEX)] if keep_index else []), *columns)
 
 
 def generate_table(
@@ -192,7 +191,7 @@ def generate_dataset(
             if fk.child != name or parents == 0:
                 continue
             parent = spec.table(fk.parent)
-            row = F.pmod(F.col(INDEX), F.lit(parents))
+            row = f"pmod({INDEX}, {parents}L)"
             for child_column, parent_column in zip(fk.child_columns, fk.parent_columns):
                 value = column_value(parent, parent.column(parent_column), seed, row, locale)
                 kind = LOGICAL_TYPES[table.column(child_column).type]

@@ -20,7 +20,8 @@ BANDS = {
 # Alternative spellings of common status words.
 SPELLINGS = {"active": "Active", "pending": "PENDING", "canceled": "cancelled", "paid": "Paid"}
 
-ISO_START = r"^\d{4}-\d{2}-\d{2}"
+ISO_DAY = r"^\d{4}-\d{2}-\d{2}[^-T]*(T|$)"
+DAY_PARTS = r"^(\d{4})-(\d{2})-(.*)$"
 
 
 def to_raw(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -33,47 +34,52 @@ def to_raw(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def whitespace(value: Column, seed: int, tag: str, key: Column) -> Column:
-    hit = (F.length(value) > 0) & (rng.uniform(seed, tag + ".ws", key) < 0.5)
-    front = rng.uniform(seed, tag + ".ws.side", key) < 0.5
+def cell_draw(seed: int, table: str, column: str, key: str) -> Column:
+    """One draw decides about a cell: its size whether, its lowest bit how."""
+    return rng.draw(seed, f"{table}.{column}.cell", key)
+
+
+def _hit(cell: Column, chance: float) -> Column:
+    return cell < F.lit(int(chance * rng.TWO32))
+
+
+def _coin(cell: Column) -> Column:
+    return cell.bitwiseAND(1) == 0
+
+
+def whitespace(value: Column, cell: Column) -> Column:
+    hit = (F.length(value) > 0) & _hit(cell, 0.5)
     return (
-        F.when(hit & front, F.concat(F.lit("  "), value))
+        F.when(hit & _coin(cell), F.concat(F.lit("  "), value))
         .when(hit, F.concat(value, F.lit("\t ")))
         .otherwise(value)
     )
 
 
-def casing(value: Column, seed: int, tag: str, key: Column) -> Column:
-    hit = (F.length(value) > 2) & (rng.uniform(seed, tag + ".case", key) < 0.4)
-    down = rng.uniform(seed, tag + ".case.dir", key) < 0.5
-    return F.when(hit & down, F.lower(value)).when(hit, F.upper(value)).otherwise(value)
+def casing(value: Column, cell: Column) -> Column:
+    hit = (F.length(value) > 2) & _hit(cell, 0.4)
+    return F.when(hit & _coin(cell), F.lower(value)).when(hit, F.upper(value)).otherwise(value)
 
 
-def number_hit(value: Column, seed: int, tag: str, key: Column) -> Column:
+def number_hit(value: Column, cell: Column) -> Column:
     """Whether a numeric cell arrives as text."""
-    return value.isNotNull() & (rng.uniform(seed, tag + ".num", key) < 0.5)
+    return value.isNotNull() & _hit(cell, 0.5)
 
 
-def date_format(value: Column, seed: int, tag: str, key: Column) -> Column:
-    hit = value.rlike(ISO_START) & (rng.uniform(seed, tag + ".date", key) < 0.5)
+def date_format(value: Column, cell: Column) -> Column:
+    hit = value.rlike(ISO_DAY) & _hit(cell, 0.5)
     day = F.substring_index(value, "T", 1)
-    slashed = rng.uniform(seed, tag + ".date.style", key) < 0.5
-    exact = F.size(F.split(day, "-")) == 3
-    parts = r"^(\d{4})-(\d{2})-(.*)$"
     return (
-        F.when(hit & exact & slashed, F.regexp_replace(day, parts, "$2/$3/$1"))
-        .when(hit & exact, F.regexp_replace(day, parts, "$2-$3-$1"))
+        F.when(hit & _coin(cell), F.regexp_replace(day, DAY_PARTS, "$2/$3/$1"))
+        .when(hit, F.regexp_replace(day, DAY_PARTS, "$2-$3-$1"))
         .otherwise(value)
     )
 
 
-def enum_spelling(value: Column, seed: int, tag: str, key: Column) -> Column:
-    hit = rng.uniform(seed, tag + ".enum", key) < 0.5
-    small = F.lower(value)
-    changed = F.when(hit & (small == next(iter(SPELLINGS))), F.lit(next(iter(SPELLINGS.values()))))
-    for plain, other in list(SPELLINGS.items())[1:]:
-        changed = changed.when(hit & (small == plain), F.lit(other))
-    return changed.otherwise(value)
+def enum_spelling(value: Column, cell: Column) -> Column:
+    names = ", ".join(f"'{plain}', '{other}'" for plain, other in SPELLINGS.items())
+    other = F.try_element_at(F.expr(f"map({names})"), F.lower(value))
+    return F.when(_hit(cell, 0.5), F.coalesce(other, value)).otherwise(value)
 
 
 def apply_messiness(
@@ -88,41 +94,36 @@ def apply_messiness(
     """
     if profile == "clean":
         return df
-    position = F.col(key)
     if touched is None:
-        touched = rng.uniform(seed, f"{table}.mess.row", position) < F.lit(ROW_SHARE[profile])
-    roll = rng.uniform(seed, f"{table}.mess.kind", position)
-    fault = F.lit(None).cast("string")
-    for name, end in reversed(BANDS[profile]):
-        fault = F.when(roll < end, F.lit(name)).otherwise(fault)
-    staged = df.withColumn("_fault", F.when(touched, fault))
-    kind = F.col("_fault")
-    faults = {name for name, _ in BANDS[profile]}
+        touched = rng.below(ROW_SHARE[profile], seed, f"{table}.mess.row", key)
+    names = [name for name, _ in BANDS[profile]]
+    listed = ", ".join(f"'{name}'" for name in names)
+    band = rng.band_text(rng.uniform_text(seed, f"{table}.mess.kind", key), [end for _, end in BANDS[profile]])
+    texts = [
+        f.name for f in df.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.name not in skip and f.name not in number_columns
+    ]
+    numbers = list(number_columns) if "numbers" in names else []
+    cells = {f"_cell_{c}": cell_draw(seed, table, c, key) for c in [*texts, *numbers]}
+    # Drawn in a projection of their own, so every draw is computed once.
+    staged = df.withColumns({"_touched": touched, "_fault": F.expr(f"get(array({listed}), {band})"), **cells})
+    fault = F.when(F.col("_touched"), F.col("_fault"))
     columns = []
-    for field in df.schema.fields:
-        value = F.col(field.name)
-        if field.name in skip or field.name == key or not isinstance(field.dataType, T.StringType):
-            columns.append(value)
-            continue
-        tag = f"{table}.{field.name}"
-        if field.name in number_columns:
+    for name in df.columns:
+        value = F.col(name)
+        if name not in texts:
             columns.append(value)
             continue
+        cell = F.col(f"_cell_{name}")
         mutated = (
-            F.when(kind == "whitespace", whitespace(value, seed, tag, position))
-            .when(kind == "casing", casing(value, seed, tag, position))
-            .when(kind == "dates", date_format(value, seed, tag, position))
-        )
-        if "enums" in faults:
-            mutated = mutated.when(kind == "enums", enum_spelling(value, seed, tag, position))
-        columns.append(mutated.otherwise(value).alias(field.name))
-    if "numbers" in faults and number_columns:
-        quoted = sum(
-            (
-                ((kind == "numbers") & number_hit(F.col(c), seed, f"{table}.{c}", position)).cast("int")
-                for c in number_columns
-            ),
-            F.lit(0),
+            F.when(fault == "whitespace", whitespace(value, cell))
+            .when(fault == "casing", casing(value, cell))
+            .when(fault == "dates", date_format(value, cell))
         )
-        columns.append(F.coalesce(quoted, F.lit(0)).alias("as_text_columns"))
+        if "enums" in names:
+            mutated = mutated.when(fault == "enums", enum_spelling(value, cell))
+        columns.append(mutated.otherwise(value).alias(name))
+    if numbers:
+        quoted = sum((number_hit(F.col(c), F.col(f"_cell_{c}")).cast("int") for c in numbers), F.lit(0))
+        columns.append(F.when(fault == "numbers", quoted).otherwise(F.lit(0)).alias("as_text_columns"))
     return staged.select(*columns)

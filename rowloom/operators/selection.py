@@ -10,13 +10,13 @@ from rowloom.functions import rng
 SLOT_BITS = 16
 
 
-def share_of_rows(ratio: float, seed: int, tag: str, key: Column) -> Column:
+def share_of_rows(ratio: float, seed: int, tag: str, key: str) -> Column:
     """True for about ``ratio`` of the rows; no pass over the data, works on streams."""
-    return rng.uniform(seed, tag, key) < F.lit(float(ratio))
+    return rng.below(ratio, seed, tag, key)
 
 
 def exact_share(
-    df: DataFrame, ratio: float, seed: int, tag: str, key: Column, at_least: int = 1
+    df: DataFrame, ratio: float, seed: int, tag: str, key: str, at_least: int = 1
 ) -> Column:
     """True for exactly ``max(at_least, floor(rows * ratio))`` rows of ``df``.
 
@@ -25,9 +25,7 @@ def exact_share(
     plain predicate, so the data itself is neither sorted nor shuffled.
     Keys must be unique.
     """
-    hashed = df.select(key.cast("bigint").alias("key")).select(
-        "key", rng.draw(seed, tag, F.col("key")).alias("h")
-    )
+    hashed = df.select(F.expr(key).cast("bigint").alias("key")).select("key", rng.draw(seed, tag, "key").alias("h"))
     slot = F.shiftright("h", SLOT_BITS)
     wanted = F.greatest(F.lit(at_least), F.floor(F.sum("n").over(_everything()) * F.lit(float(ratio))))
     if ratio >= 1:
@@ -44,7 +42,7 @@ def exact_share(
     last = (
         hashed.filter(F.col("h") == cut["at"]).select("key").orderBy("key").limit(cut["short"]).agg(F.max("key"))
     ).first()[0]
-    return (draws < F.lit(cut["at"])) | ((draws == F.lit(cut["at"])) & (key <= F.lit(last)))
+    return (draws < F.lit(cut["at"])) | ((draws == F.lit(cut["at"])) & (F.expr(key) <= F.lit(last)))
 
 
 def _everything() -> Window:

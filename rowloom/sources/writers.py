@@ -13,6 +13,13 @@ from rowloom.operators.layers import gold_normalize, keep_first, silver_clean
 
 BATCH_ROWS = 1_000
 
+# Nulls are written out and times keep their microseconds.
+JSON_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
 
 def write_csv(df: DataFrame, path: str) -> str:
     text = df.select(*[as_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
@@ -21,7 +28,7 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:
-    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    df.write.mode("errorifexists").options(**JSON_OPTIONS).json(path)
     return path
 
 
@@ -30,7 +37,7 @@ def write_json_array(df: DataFrame, path: str) -> str:
 
     Rows are grouped into arrays inside each partition, so no task gathers the table.
     """
-    fields = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    fields = F.to_json(F.struct(*df.columns), JSON_OPTIONS)
 
     def bracket(batches):
         import pyarrow as pa

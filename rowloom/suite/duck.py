@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from rowloom.functions.rng import HIGH_MIX, LOW32, MIX, salt
+from rowloom.functions.rng import HIGH_MIX, LOW32, MIX, salts
 
 
 def draw(seed: int, tag: str, key: str) -> str:
-    start = f"((({key})::BIGINT + {salt(seed, tag)}) & {LOW32})"
+    shift, flip = salts(seed, tag)
+    start = f"((({key})::BIGINT + {shift}) & {LOW32})"
     first = f"((xor({start}, {start} >> 16) * {MIX}) & {LOW32})"
     upper = f"(((({key})::BIGINT >> 32) * {HIGH_MIX}) & {LOW32})"
-    second = f"((xor(xor({first}, {first} >> 16), {upper}) * {MIX}) & {LOW32})"
+    second = f"((xor(xor(xor({first}, {first} >> 16), {upper}), {flip}) * {MIX}) & {LOW32})"
     return f"xor({second}, {second} >> 16)"
 
 

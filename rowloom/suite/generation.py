@@ -28,7 +28,7 @@ def _values(name: str, make, oracle: str) -> None:
 
     @query(name, f"SELECT {KEY} AS row_idx, {oracle} AS value FROM orders")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _positions(spark, folder).select("row_idx", make(F.col("row_idx")).alias("value"))
+        return _positions(spark, folder).select("row_idx", make("row_idx").alias("value"))
 
 
 def _rule(name: str, rule: ValueRule, oracle: str) -> None:
@@ -80,7 +80,7 @@ _rule("gen_static", ValueRule("static", {"value": "fixed"}), "'fixed'")
 )
 def gen_range(spark: SparkSession, folder: str) -> DataFrame:
     def value(tag: str, **params) -> Column:
-        return generate.rule_value(ValueRule("range", params), SEED, f"r.{tag}", F.col("row_idx"))
+        return generate.rule_value(ValueRule("range", params), SEED, f"r.{tag}", "row_idx")
 
     return _positions(spark, folder).select(
         "row_idx",
@@ -156,7 +156,7 @@ def _faker(provider: str) -> ValueRule:
 )
 def gen_person(spark: SparkSession, folder: str) -> DataFrame:
     def name(locale: str) -> Column:
-        return generate.rule_value(_faker("person"), SEED, "gen_person", F.col("row_idx"), locale)
+        return generate.rule_value(_faker("person"), SEED, "gen_person", "row_idx", locale)
 
     return _positions(spark, folder).select(
         "row_idx", *[name(lang).alias(f"name_{lang}") for lang in ("en", "de", "es", "fr")]
@@ -277,7 +277,7 @@ def _shape(name: str, kind: str, shape: Shape, oracle: str) -> None:
 
     @query(name, f"SELECT {KEY} AS row_idx, floor(({oracle}) * 10000.0::DOUBLE) / 10000.0::DOUBLE AS value FROM orders")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        value = apply_shape(F.col("o_totalprice"), kind, shape, SEED, name, F.col(KEY))
+        value = apply_shape(F.col("o_totalprice"), kind, shape, SEED, name, KEY)
         return table(spark, folder, "orders").select(F.col(KEY).alias("row_idx"), floor_to(value, 4).alias("value"))
 
 
@@ -417,4 +417,4 @@ def pick_rows_exact(spark: SparkSession, folder: str) -> DataFrame:
     from rowloom.operators.selection import exact_share
 
     orders = table(spark, folder, "orders").select(KEY)
-    return orders.filter(exact_share(orders, 0.137, SEED, "pick", F.col(KEY)))
+    return orders.filter(exact_share(orders, 0.137, SEED, "pick", KEY))
