@@ -63,9 +63,14 @@ def tag_cdc(
     )
 
 
+def invalid_operation(op_column: str) -> Column:
+    """True for an operation outside the known ones; a missing operation is allowed."""
+    op = F.col(op_column)
+    return op.isNotNull() & ~op.isin(*OPERATIONS)
+
+
 def invalid_operations(df: DataFrame, op_column: str = "op_type") -> DataFrame:
-    """Rows, invalid operations and the verdict; a null operation is allowed."""
-    bad = F.count_if(F.col(op_column).isNotNull() & ~F.col(op_column).isin(*OPERATIONS))
-    return df.agg(F.count(F.lit(1)).alias("rows_checked"), bad.alias("invalid_ops")).withColumn(
-        "cdc_op_type_valid", F.col("invalid_ops") == 0
-    )
+    """Rows, invalid operations and the verdict."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows_checked"), F.count_if(invalid_operation(op_column)).alias("invalid_ops")
+    ).withColumn("cdc_op_type_valid", F.col("invalid_ops") == 0)

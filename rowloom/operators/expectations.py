@@ -109,15 +109,17 @@ def run_suite(df: DataFrame, table: str, suite: Sequence[Expectation]) -> DataFr
     All but the uniqueness checks share a single aggregation.
     """
     simple = [(i, e) for i, e in enumerate(suite) if e.kind != UNIQUE]
-    totals = df.agg(*[_failing(df, e).alias(f"f_{i}") for i, e in simple])
-    entries = [
-        F.struct(
-            F.lit(i).alias("seq"), F.lit(e.kind).alias("expectation"),
-            F.lit(e.column).cast("string").alias("column_name"), F.col(f"f_{i}").alias("failing"),
-        )
-        for i, e in simple
-    ]
-    parts = [totals.select(F.explode(F.array(*entries)).alias("e")).select("e.*")]
+    parts = []
+    if simple:
+        totals = df.agg(*[_failing(df, e).alias(f"f_{i}") for i, e in simple])
+        entries = [
+            F.struct(
+                F.lit(i).alias("seq"), F.lit(e.kind).alias("expectation"),
+                F.lit(e.column).cast("string").alias("column_name"), F.col(f"f_{i}").alias("failing"),
+            )
+            for i, e in simple
+        ]
+        parts.append(totals.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
     for i, e in enumerate(suite):
         if e.kind == UNIQUE:
             parts.append(

@@ -31,15 +31,10 @@ def _normal(name: Column) -> Column:
     return F.translate(F.lower(name), "- ", "__")
 
 
-def _first_pattern(name: Column, position: int) -> Column:
-    """``position`` 0 gives the category, 1 the certainty of the first matching line."""
-    found = F.lit(UNCLASSIFIED)
-    for line in reversed(fixed.NAME_PATTERNS):
-        hit = F.lit(False)
-        for pattern in line[2]:
-            hit = hit | F.contains(name, F.lit(pattern))
-        found = F.when(hit, F.lit(line[position])).otherwise(found)
-    return found
+def _first_line(name: Column) -> Column:
+    """Number of the first pattern line with a name that occurs in the column's name."""
+    lines = fixed.NAME_PATTERNS
+    return F.coalesce(*[F.when(name.rlike("|".join(names)), F.lit(i)) for i, (_, _, names) in enumerate(lines)])
 
 
 def classify(
@@ -49,22 +44,32 @@ def classify(
 
     An override decides first, then a generator hint, then the column's name.
     """
-    name = _normal(F.col("column_name"))
-    category, certainty = _first_pattern(name, 0), _first_pattern(name, 1)
-    source = F.when(category != UNCLASSIFIED, F.lit("pattern")).otherwise(F.lit("none"))
+    forced, hinted = F.lit(None).cast("string"), F.lit(None).cast("string")
+    if overrides:
+        pairs = [F.lit(x) for (table, column), meant in overrides.items() for x in (f"{table}.{column}", meant)]
+        forced = F.try_element_at(F.create_map(*pairs), F.concat_ws(".", "table_name", "column_name"))
     if hint is not None:
-        hinted = F.lit(None).cast("string")
-        for word, meant in fixed.HINT_CATEGORIES.items():
-            hinted = F.when(_normal(F.col(hint)) == word, F.lit(meant)).otherwise(hinted)
-        category = F.coalesce(hinted, category)
-        certainty = F.when(hinted.isNotNull(), F.lit("detected")).otherwise(certainty)
-        source = F.when(hinted.isNotNull(), F.lit("hint")).otherwise(source)
-    for (table, column), meant in (overrides or {}).items():
-        here = (F.col("table_name") == table) & (F.col("column_name") == column)
-        category = F.when(here, F.lit(meant)).otherwise(category)
-        certainty = F.when(here, F.lit("detected")).otherwise(certainty)
-        source = F.when(here, F.lit("override")).otherwise(source)
-    return catalog.withColumns({"category": category, "certainty": certainty, "decided_by": source})
+        pairs = [F.lit(x) for pair in fixed.HINT_CATEGORIES.items() for x in pair]
+        hinted = F.try_element_at(F.create_map(*pairs), _normal(F.col(hint)))
+    categories = F.array(*[F.lit(category) for category, _, _ in fixed.NAME_PATTERNS])
+    certainties = F.array(*[F.lit(certainty) for _, certainty, _ in fixed.NAME_PATTERNS])
+    # Staged, so that the pattern lines are searched once per column.
+    staged = catalog.withColumns(
+        {"_forced": forced, "_hinted": hinted, "_line": _first_line(_normal(F.col("column_name")))}
+    )
+    settled = F.coalesce("_forced", "_hinted")
+    return staged.withColumns(
+        {
+            "category": F.coalesce(settled, F.get(categories, F.col("_line")), F.lit(UNCLASSIFIED)),
+            "certainty": F.when(settled.isNotNull(), "detected").otherwise(
+                F.coalesce(F.get(certainties, F.col("_line")), F.lit(UNCLASSIFIED))
+            ),
+            "decided_by": F.when(F.col("_forced").isNotNull(), "override")
+            .when(F.col("_hinted").isNotNull(), "hint")
+            .when(F.col("_line").isNotNull(), "pattern")
+            .otherwise("none"),
+        }
+    ).drop("_forced", "_hinted", "_line")
 
 
 def warnings(classified: DataFrame) -> DataFrame:
@@ -135,8 +140,26 @@ def scorecard(summary: DataFrame) -> DataFrame:
     )
 
 
-def decide(score: DataFrame, policy: Policy) -> DataFrame:
-    """Violations of the policy and its decision: allow, warn or block."""
+def decide(score: DataFrame, *policies: Policy) -> DataFrame:
+    """Violations of each policy and its decision: allow, warn or block."""
+    staged = score.select(
+        "risk_score", "risk_level", "sensitive_columns",
+        F.explode(F.array(*[_judge(p) for p in policies])).alias("_judged"),
+    )
+    count = F.size("_judged.violations")
+    return staged.select(
+        "risk_score", "risk_level", "sensitive_columns",
+        count.alias("violation_count"),
+        F.concat_ws(";", "_judged.violations").alias("violations"),
+        F.col("_judged.policy_mode").alias("policy_mode"),
+        F.when((count > 0) & (F.col("_judged.policy_mode") == "enforce"), "block")
+        .when(count > 0, "warn")
+        .otherwise("allow")
+        .alias("policy_decision"),
+    )
+
+
+def _judge(policy: Policy) -> Column:
     checks = []
     if policy.max_risk_score is not None:
         checks.append(_over("risk_score_exceeds_threshold", "risk_score", policy.max_risk_score))
@@ -155,19 +178,7 @@ def decide(score: DataFrame, policy: Policy) -> DataFrame:
         )
     mode = policy.mode if policy.mode in ("advisory", "enforce") else "advisory"
     violations = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    would_block = F.col("violation_count") > 0
-    return (
-        score.withColumn("_violations", violations)
-        .withColumns(
-            {"violation_count": F.size("_violations"), "violations": F.concat_ws(";", F.col("_violations"))}
-        )
-        .select(
-            "risk_score", "risk_level", "sensitive_columns", "violation_count", "violations",
-            F.lit(mode).alias("policy_mode"),
-            F.when(would_block & F.lit(mode == "enforce"), "block").when(would_block, "warn").otherwise("allow")
-            .alias("policy_decision"),
-        )
-    )
+    return F.struct(violations.alias("violations"), F.lit(mode).alias("policy_mode"))
 
 
 def _over(code: str, column: str, limit: int) -> Column:

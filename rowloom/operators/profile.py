@@ -19,29 +19,28 @@ def ratio(part: str, whole: str):
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(
-        [
-            df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-            for name, df in tables.items()
-        ]
+        [df.agg(F.expr(f"'{name}' AS table_name"), F.expr("count(1) AS row_count")) for name, df in tables.items()]
     )
 
 
 def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows, columns, nulls and null ratio; one aggregation pass per table."""
-    return union_all([_profile(name, df) for name, df in tables.items()])
+    counted = union_all([_profile(name, df) for name, df in tables.items()])
+    cells = F.col("row_count") * F.col("column_count")
+    return counted.withColumn("cell_count", cells).withColumn("null_ratio", ratio("null_count", "cell_count")).drop(
+        "cell_count"
+    )
 
 
 def _profile(name: str, df: DataFrame) -> DataFrame:
-    filled = sum((F.count(F.col(f"`{c}`")) for c in df.columns), F.lit(0))
     width = len(df.columns)
-    counted = df.agg(F.count(F.lit(1)).alias("row_count"), filled.alias("filled")).select(
-        F.lit(name).alias("table_name"),
+    filled = " + ".join(f"count(`{c}`)" for c in df.columns) or "0L"
+    return df.agg(F.expr("count(1) AS row_count"), F.expr(f"{filled} AS filled")).selectExpr(
+        f"'{name}' AS table_name",
         "row_count",
-        F.lit(width).alias("column_count"),
-        (F.col("row_count") * width - F.col("filled")).alias("null_count"),
-        (F.col("row_count") * width).alias("cell_count"),
+        f"{width} AS column_count",
+        f"row_count * {width} - filled AS null_count",
     )
-    return counted.withColumn("null_ratio", ratio("null_count", "cell_count")).drop("cell_count")
 
 
 def dataset_summary(profiles: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ def share_of_rows(ratio: float, seed: int, tag: str, key: str) -> Column:
 
 
 def exact_share(
-    df: DataFrame, ratio: float, seed: int, tag: str, key: str, at_least: int = 1
+    df: DataFrame, ratio: float, seed: int, tag: str, key: str, at_least: int = 1, at_most: int | None = None
 ) -> Column:
-    """True for exactly ``max(at_least, floor(rows * ratio))`` rows of ``df``.
+    """True for exactly ``max(at_least, floor(rows * ratio))`` rows of ``df``, or for
+    ``at_most`` rows where that is less.
 
     Rows are ranked by their draw and the cut-off draw is found from two small
     histograms over the key column, at most 65,536 groups each. The result is a
@@ -28,6 +29,8 @@ def exact_share(
     hashed = df.select(F.expr(key).cast("bigint").alias("key")).select("key", rng.draw(seed, tag, "key").alias("h"))
     slot = F.shiftright("h", SLOT_BITS)
     wanted = F.greatest(F.lit(at_least), F.floor(F.sum("n").over(_everything()) * F.lit(float(ratio))))
+    if at_most is not None:
+        wanted = F.least(wanted, F.lit(at_most))
     if ratio >= 1:
         return F.lit(True)
     first = _cut(hashed.groupBy(slot.alias("at")).agg(F.count(F.lit(1)).alias("n")), wanted)

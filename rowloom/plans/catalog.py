@@ -21,31 +21,30 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def measured_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One aggregation pass per table, unpivoted to a row per column."""
-    return union_all([_measure(name, df) for name, df in tables.items()])
+    """A row per column from one aggregation pass per table.
+
+    Tables are united while they still are one row each and unpivoted afterwards, so
+    whatever is computed per column later is planned once, not once per table.
+    """
+    return (
+        union_all([_measure(name, df) for name, df in tables.items()])
+        .select("table_name", "row_count", F.explode("entries").alias("e"))
+        .select(
+            "table_name", "e.ordinal", "e.column_name", "e.data_type", "row_count",
+            (F.col("row_count") - F.col("e.filled")).alias("null_count"),
+        )
+    )
 
 
 def _measure(name: str, df: DataFrame) -> DataFrame:
-    totals = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count(F.col(f"`{c}`")).alias(f"filled_{i}") for i, c in enumerate(df.columns)],
-    )
-    entries = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.col(f"filled_{i}").alias("filled"),
-        )
+    # SQL text instead of column objects: one parse for a table of any width.
+    entries = ", ".join(
+        f"named_struct('ordinal', {i}, 'column_name', '{f.name}', 'data_type', '{f.dataType.simpleString()}', "
+        f"'filled', count(`{f.name}`))"
         for i, f in enumerate(df.schema.fields)
-    ]
-    return totals.select("row_count", F.explode(F.array(*entries)).alias("e")).select(
-        F.lit(name).alias("table_name"),
-        "e.ordinal",
-        "e.column_name",
-        "e.data_type",
-        "row_count",
-        (F.col("row_count") - F.col("e.filled")).alias("null_count"),
+    )
+    return df.agg(
+        F.expr(f"'{name}' AS table_name"), F.expr("count(1) AS row_count"), F.expr(f"array({entries}) AS entries")
     )
 
 

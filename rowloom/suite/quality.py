@@ -573,7 +573,7 @@ def _decision_sql(policy: privacy.Policy) -> str:
 @query("privacy_policy", f"WITH s AS ({SUMMARY}), c AS ({SCORES}) " + " UNION ALL ".join(map(_decision_sql, POLICIES)))
 def privacy_policy(spark: SparkSession, folder: str) -> DataFrame:
     scores = privacy.scorecard(privacy.category_summary(classified(spark, folder)))
-    return union_all([privacy.decide(scores, policy) for policy in POLICIES])
+    return privacy.decide(scores, *POLICIES)
 
 
 @query(
