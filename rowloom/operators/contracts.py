@@ -31,7 +31,10 @@ class Contract:
 
 def reasons(record: str, contract: Contract) -> Column:
     """Array of reasons why a record fails; empty when it conforms."""
-    parsed = F.try_parse_json(record)
+    # Inside brackets, so that anything after the record's end makes it invalid.
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(record), F.lit("]")))
+    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    parsed = F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
     is_object = F.schema_of_variant(parsed).startswith("OBJECT<")
     keys = F.json_object_keys(record)
     checks = [

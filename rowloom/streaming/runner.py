@@ -14,7 +14,8 @@ def stream_table(spark: SparkSession, folder: str, table: str, files_per_trigger
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{folder}/{table}.parquet")
+    # A glob, as it takes a single file as well as a folder of part files.
+    return reader.parquet(f"{folder}/{{{table}}}.parquet")
 
 
 def event_time(df: DataFrame, column: str) -> DataFrame:

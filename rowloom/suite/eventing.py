@@ -58,8 +58,8 @@ def _made_sql(domain: str, pattern: str) -> str:
     entity = duck.draw(SEED, "event.entity", "event_no")
     return f"""SELECT event_no, 'evt_' || lpad(event_no::VARCHAR, 8, '0') AS event_id, ts, {kinds} AS event_type,
       'entity_' || ((({entity} * greatest(1, {COUNT} // 10)) >> 32) + 1) AS entity_id
-      FROM (SELECT ts, row_number() OVER (ORDER BY ts, at) - 1 AS event_no
-            FROM (SELECT event_id AS at, {_time_sql(pattern)} AS ts FROM events))"""
+      FROM (SELECT ts, row_number() OVER (ORDER BY ts, pos) - 1 AS event_no
+            FROM (SELECT event_id AS pos, {_time_sql(pattern)} AS ts FROM events))"""
 
 
 def made_events(spark: SparkSession, folder: str, domain: str = "saas_billing", pattern: str = "growth") -> DataFrame:

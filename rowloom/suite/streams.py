@@ -12,7 +12,7 @@ from rowloom.streaming import operators as streaming
 from rowloom.streaming.runner import event_time, run_available, stream_table
 from rowloom.suite import duck
 from rowloom.suite.degradation import SEED, cdc_sql
-from rowloom.suite.eventing import LATE_SQL, REASON, checked_records
+from rowloom.suite.eventing import LATE_SQL, REASON, WINDOWS, checked_records
 from rowloom.suite.quality import BROKEN, CUSTOMER_CATEGORIES, LINE_RULES, SOLVENT
 from rowloom.suite.registry import query, table
 
@@ -69,9 +69,7 @@ def stream_ref_orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "stream_event_windows",
-    """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
-    count(*) AS events, sum(value::DECIMAL(28,6))::DOUBLE AS value_sum FROM events GROUP BY ALL
-    HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    f"SELECT * FROM ({WINDOWS}) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
 )
 def stream_event_windows(spark: SparkSession, folder: str) -> DataFrame:
     arriving = event_time(stream_table(spark, folder, "events"), "ts")
