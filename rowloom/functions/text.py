@@ -6,16 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters counted as whitespace when values are stripped.
+# The characters counted as whitespace when values are stripped or collapsed.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = (
-    r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+WHITESPACE_RUN = r"(?U)[\x1c-\x1f\s]+"
 
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
@@ -35,13 +32,19 @@ def collapse(value: Column) -> Column:
 
 
 def number_text(value: Column, dtype: T.DataType) -> Column:
-    """Plain decimal text of a number, without an exponent for large or tiny doubles."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        size = F.abs(value)
-        ordinary = (value == 0) | ((size >= 1e-3) & (size < 1e7))
-        digits = F.regexp_replace(F.format_string("%.10f", value), "(\\.[0-9]+?)0+$", "$1")
-        return F.when(ordinary, value.cast("string")).otherwise(digits)
-    return value.cast("string")
+    """Text of a number; doubles from 1e-4 to 1e16 without an exponent."""
+    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return value.cast("string")
+    size = F.abs(value)
+
+    def expanded(digits: str) -> Column:
+        return F.regexp_replace(value.try_cast(digits).cast("string"), r"(\.[0-9]+?)0+$", "$1")
+
+    return (
+        F.when((size >= 1e7) & (size < 1e16), expanded("decimal(38,18)"))
+        .when((size >= 1e-4) & (size < 1e-3), expanded("decimal(38,24)"))
+        .otherwise(value.cast("string"))
+    )
 
 
 def iso_text(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # What a parsed value of each contract type may look like.
@@ -29,37 +29,38 @@ class Contract:
     types: Mapping[str, str] = field(default_factory=dict)
 
 
-def reasons(record: str, contract: Contract) -> Column:
-    """Array of reasons why a record fails; empty when it conforms."""
+def check_records(df: DataFrame, record: str, contract: Contract) -> DataFrame:
+    """Add ``passed`` and ``reason`` (null when passed).
+
+    Parsing, shapes and reasons are separate projections, so every record is parsed once.
+    """
     # Inside brackets, so that anything after the record's end makes it invalid.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(record), F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    parsed = F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT<")
-    keys = F.json_object_keys(record)
+    first = F.try_variant_get("_wrapped", "$[0]", "variant")
+    second = F.try_variant_get("_wrapped", "$[1]", "variant")
+    parsed = df.withColumn("_wrapped", wrapped).withColumn("_parsed", F.when(second.isNull(), first))
+    fields = {
+        f"_type_{i}": F.schema_of_variant(F.try_variant_get("_parsed", f"$.{name}", "variant"))
+        for i, name in enumerate(contract.types)
+    }
+    shaped = parsed.withColumns({"_shape": F.substring(F.schema_of_variant("_parsed"), 1, 7), **fields})
+    is_object = F.col("_shape") == "OBJECT<"
+    if contract.required:
+        shaped = shaped.withColumn("_keys", F.when(is_object, F.json_object_keys(record)))
     checks = [
-        F.when(F.col(record).isNull() | parsed.isNull(), F.lit("Invalid JSON")),
-        F.when(parsed.isNotNull() & ~is_object, F.lit("Expected object")),
+        F.when(F.col("_parsed").isNull(), F.lit("Invalid JSON")),
+        F.when(F.col("_parsed").isNotNull() & ~is_object, F.lit("Expected object")),
     ]
     for name in contract.required:
-        checks.append(
-            F.when(is_object & ~F.array_contains(keys, name), F.lit(f"missing required property: {name}"))
-        )
-    for name, kind in contract.types.items():
-        found = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-        wrong = is_object & F.array_contains(keys, name) & ~found.rlike(TYPE_PATTERNS[kind])
+        missing = is_object & ~F.array_contains("_keys", name)
+        checks.append(F.when(missing, F.lit(f"missing required property: {name}")))
+    for i, (name, kind) in enumerate(contract.types.items()):
+        wrong = is_object & ~F.col(f"_type_{i}").rlike(TYPE_PATTERNS[kind])
         checks.append(F.when(wrong, F.lit(f"property {name} is not {kind}")))
-    return F.array_compact(F.array(*checks))
-
-
-def check_records(df: DataFrame, record: str, contract: Contract) -> DataFrame:
-    """Add ``reason`` (null when passed) and ``passed``."""
-    return df.withColumn("_reasons", reasons(record, contract)).withColumns(
-        {
-            "passed": F.size("_reasons") == 0,
-            "reason": F.when(F.size("_reasons") > 0, F.concat_ws("; ", "_reasons")),
-        }
-    ).drop("_reasons")
+    reason = F.nullif(F.concat_ws("; ", *checks), F.lit(""))
+    return shaped.withColumn("reason", reason).select(
+        *df.columns, F.col("reason").isNull().alias("passed"), "reason"
+    )
 
 
 def contract_totals(checked: DataFrame, contract: Contract) -> DataFrame:

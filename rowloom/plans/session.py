@@ -10,4 +10,7 @@ RECOMMENDED: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM does not compile methods above 8,000 bytes; wide generated projections are
+    # faster as several small methods than as one whole-stage method that stays interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
