@@ -73,19 +73,24 @@ def flatten_config(df: DataFrame, key: str, config: str) -> DataFrame:
     A nested object of plain values is opened one level as ``outer.inner``; one that
     holds further objects or lists stays a single value, as does an array.
     """
-    top = df.select(key, F.parse_json(config).alias("_v")).lateralJoin(
-        df.sparkSession.tvf.variant_explode(F.col("_v").outer())
-    ).select(key, F.col("key").alias("path"), F.col("value").alias("_value"))
+    tvf = df.sparkSession.tvf
+    top = (
+        df.select(key, F.parse_json(config).alias("_config"))
+        .lateralJoin(tvf.variant_explode(F.col("_config").outer()))
+        .select(key, F.col("key").alias("_outer"), F.col("value").alias("_value"))
+    )
     shape = F.schema_of_variant("_value")
-    opened = shape.startswith("OBJECT<") & ~F.substring(shape, 8, 1 << 20).rlike("OBJECT<|ARRAY<")
-    staged = top.withColumn("_open", opened)
-    inner = staged.filter("_open").lateralJoin(
-        df.sparkSession.tvf.variant_explode(F.col("_value").outer())
-    ).select(
-        F.col(key), F.concat_ws(".", F.col("path"), F.col("key")).alias("path"), F.to_json("value").alias("value")
+    plain = shape.startswith("OBJECT<") & ~F.substring(shape, 8, 1 << 20).rlike("OBJECT<|ARRAY<")
+    opened = (
+        top.withColumn("_open", plain)
+        .withColumn("_inside", F.when(F.col("_open"), F.col("_value")))
+        .lateralJoin(tvf.variant_explode_outer(F.col("_inside").outer()).toDF("_pos", "_inner", "_part"))
+    )
+    return opened.filter(~F.col("_open") | F.col("_inner").isNotNull()).select(
+        key,
+        F.concat_ws(".", "_outer", "_inner").alias("path"),
+        F.to_json(F.when(F.col("_open"), F.col("_part")).otherwise(F.col("_value"))).alias("value"),
     )
-    plain = staged.filter("NOT _open").select(key, "path", F.to_json("_value").alias("value"))
-    return plain.unionByName(inner)
 
 
 def config_diff(left: DataFrame, right: DataFrame, key: str, config: str) -> DataFrame:

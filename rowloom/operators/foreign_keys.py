@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.operators.indexing import dense_index
-
-BROADCAST_ROWS = 200_000
+from rowloom.plans.joins import BROADCAST_ROWS
 
 
 def assign_foreign_key(

@@ -20,6 +20,7 @@ from rowloom.plans.spec import (
 )
 
 INDEX = "row_idx"
+ROWS_PER_TASK = 10_000_000
 
 
 def row_index(
@@ -27,6 +28,8 @@ def row_index(
 ) -> DataFrame:
     """The positions ``[offset, min(offset + limit, rows))``."""
     end = rows if limit is None else min(offset + limit, rows)
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-(end - offset) // ROWS_PER_TASK))
     return spark.range(offset, max(end, offset), 1, partitions).withColumnRenamed("id", INDEX)
 
 

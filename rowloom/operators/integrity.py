@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.plans.catalog import union_all
+from rowloom.plans.joins import filled, without_match
 from rowloom.plans.spec import ForeignKey
 
-HOT_VALUES = 1_000
-
 
 def orphan_values(
     child: DataFrame, child_columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]
@@ -21,10 +20,7 @@ def orphan_values(
     Child rows are counted per value before the join, on the map side first, so a
     value held by a third of the rows is one row in the join.
     """
-    complete = child
-    for name in child_columns:
-        complete = complete.filter(F.col(name).isNotNull())
-    held = complete.groupBy(*child_columns).agg(F.count(F.lit(1)).alias("child_rows"))
+    held = child.filter(filled(child_columns)).groupBy(*child_columns).agg(F.count(F.lit(1)).alias("child_rows"))
     keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parent_columns)])
     match = [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(child_columns)]
     return held.join(keys, match, "left_anti")
@@ -48,17 +44,9 @@ def _one(tables: Mapping[str, DataFrame], fk: ForeignKey) -> DataFrame:
 def orphan_rows(
     child: DataFrame, child_columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]
 ) -> DataFrame:
-    """All child rows without a parent.
-
-    The most frequent orphan values, at most ``HOT_VALUES`` of them, are matched by
-    broadcast; every other value is less frequent and is matched by shuffle.
-    """
-    values = orphan_values(child, child_columns, parent, parent_columns)
-    hot = values.orderBy(F.desc("child_rows"), *child_columns).limit(HOT_VALUES).select(*child_columns)
-    cold = values.join(F.broadcast(hot), list(child_columns), "left_anti").select(*child_columns)
-    by_broadcast = child.join(F.broadcast(hot), list(child_columns), "left_semi")
-    by_shuffle = child.join(cold, list(child_columns), "left_semi")
-    return by_broadcast.unionByName(by_shuffle)
+    """All child rows without a parent; frequent foreign keys are not gathered in one task."""
+    keys = parent.select(*[F.col(p).alias(c) for c, p in zip(child_columns, parent_columns)])
+    return without_match(child, keys, child_columns)
 
 
 def intact(report: DataFrame) -> bool:

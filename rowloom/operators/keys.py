@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _filled(columns: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & F.col(name).isNotNull()
-    return condition
+from rowloom.plans.joins import filled
 
 
 def repeated_rows(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -22,14 +17,14 @@ def repeated_rows(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     are what is left after removing those first rows by key *and* order value, so
     rows of a hot key spread over all tasks. ``order`` must be unique.
     """
-    keyed = df.filter(_filled(key))
+    keyed = df.filter(filled(key))
     first = keyed.groupBy(*key).agg(F.min(order).alias(order))
     return keyed.join(first, [*key, order], "left_anti")
 
 
 def repeated_keys(df: DataFrame, key: Sequence[str], ignore_null: bool = False) -> DataFrame:
     """Keys held by more than one row, with the number of rows."""
-    rows = df.filter(_filled(key)) if ignore_null else df
+    rows = df.filter(filled(key)) if ignore_null else df
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("key_rows")).filter("key_rows > 1")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rowloom.functions.text import as_text, number_text
 from rowloom.operators.layers import gold_normalize, keep_first, silver_clean
+from rowloom.sources.readers import scan
 
 BATCH_ROWS = 1_000
 
@@ -104,16 +105,29 @@ def write_table(df: DataFrame, path: str, kind: str, table: str = "t") -> str:
 
 def write_layers(df: DataFrame, folder: str, table: str, key: str, order: str, kind: str = "parquet") -> dict[str, str]:
     """Bronze, silver and gold folders; each layer is computed from the written one before it."""
-    spark = df.sparkSession
     paths = {layer: f"{folder}/{layer}/{table}.{kind}" for layer in ("bronze", "silver", "gold")}
     write_table(df, paths["bronze"], kind)
-    bronze = spark.read.schema(df.schema).format("json" if kind == "jsonl" else kind).load(paths["bronze"])
+    bronze = _reread(df, paths["bronze"], kind)
     write_table(keep_first(silver_clean(bronze, key), key, order), paths["silver"], kind)
-    silver = spark.read.schema(df.schema).format("json" if kind == "jsonl" else kind).load(paths["silver"])
+    silver = _reread(df, paths["silver"], kind)
     write_table(gold_normalize(silver), paths["gold"], kind)
     return paths
 
 
+def _reread(like: DataFrame, path: str, kind: str) -> DataFrame:
+    """What was written, with the types of ``like``."""
+    df = scan(like.sparkSession, path, kind)
+    if kind == "parquet":
+        return df
+    return df.select(
+        *[
+            F.col(f.name).alias(f.name) if isinstance(f.dataType, T.StringType)
+            else F.nullif(F.col(f.name).cast("string"), F.lit("")).cast(f.dataType).alias(f.name)
+            for f in like.schema.fields
+        ]
+    )
+
+
 def write_seeds(tables: Mapping[str, list[DataFrame]], folder: str) -> dict[str, str]:
     """A CSV per non-empty table; its parts may have different columns."""
     paths = {}
@@ -132,10 +146,15 @@ def jdbc_options(url: str, table: str, properties: Mapping[str, str] | None = No
 
 def write_jdbc(
     df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None,
-    column_types: str | None = None, partitions: int = 16, mode: str = "overwrite",
+    column_types: str | None = None, connections: int | None = None, mode: str = "overwrite",
 ) -> None:
-    """Batched inserts from a bounded number of connections; the table is replaced by default."""
-    writer = df.coalesce(partitions).write.format("jdbc").mode(mode).options(**jdbc_options(url, table, properties))
+    """Batched inserts; the table is replaced by default.
+
+    ``connections`` spreads the finished rows over that many writers, so that a database
+    with few connections does not slow down the work before it.
+    """
+    rows = df.repartition(connections) if connections else df
+    writer = rows.write.format("jdbc").mode(mode).options(**jdbc_options(url, table, properties))
     if column_types:
         writer = writer.option("createTableColumnTypes", column_types)
     writer.save()

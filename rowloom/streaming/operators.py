@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.operators.events import event_windows
+from rowloom.plans.joins import without_match
 
 
 def keep_first_in_watermark(df: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -24,10 +25,15 @@ def closed_windows(df: DataFrame, window: str, delay: str, group: Sequence[str],
     return event_windows(df.withWatermark(time, delay), window, group, value, time)
 
 
-def stream_orphans(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Arriving rows whose foreign key is missing in a static parent table."""
-    keys = parent.select(F.col(parent_column).alias(child_column)).distinct()
-    return child.filter(F.col(child_column).isNotNull()).join(keys, child_column, "left_anti")
+def stream_orphans(
+    child: DataFrame, child_column: str, parent: DataFrame, parent_column: str, hot: DataFrame | None = None
+) -> DataFrame:
+    """Arriving rows whose foreign key is missing in a static parent table.
+
+    ``hot`` may name foreign keys known to be frequent, which then are not shuffled.
+    """
+    keys = parent.select(F.col(parent_column).alias(child_column))
+    return without_match(child, keys, [child_column], hot)
 
 
 def linked_notes(events: DataFrame, notes: DataFrame, delay: str, within: str) -> DataFrame:

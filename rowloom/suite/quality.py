@@ -9,6 +9,7 @@ from rowloom.functions import fixed_values as fixed
 from rowloom.operators import expectations, integrity, keys, privacy, profile, rules
 from rowloom.operators.expectations import Expectation
 from rowloom.plans.catalog import measured_catalog, union_all
+from rowloom.plans.joins import lookup
 from rowloom.plans.spec import BusinessRule, ColumnSpec, DatasetSpec, ForeignKey, TableSpec
 from rowloom.suite import duck
 from rowloom.suite.degradation import INJECTED, RAW, injected_orders
@@ -216,8 +217,8 @@ SUM_BROKEN = """SELECT o.*, coalesce(s, 0)::DOUBLE AS children_sum FROM orders o
 
 def _ruled(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     t = _linked(spark, folder)
-    dated = t["orders"].select("o_orderkey", "o_orderdate")
-    t["lines"] = t["lineitem"].join(dated, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    dated = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    t["lines"] = lookup(t["lineitem"], dated, ["l_orderkey"], "inner")
     return t
 
 

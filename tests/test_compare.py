@@ -44,7 +44,7 @@ def test_schema_versions(spark):
 
 
 def test_flatten_opens_plain_objects_only(spark):
-    df = spark.createDataFrame([(1, '{"a":1,"b":{"c":"x","d":null},"e":{"f":{"g":1}},"h":[1],"i":{"j":[2]}}')], "k int, config string")
+    df = spark.createDataFrame([(1, '{"a":1,"b":{"c":"x","d":null},"e":{"f":{"g":1}},"h":[1],"i":{"j":[2]},"z":{}}')], "k int, config string")
     got = {r.path: r.value for r in diff.flatten_config(df, "k", "config").collect()}
     assert got == {"a": "1", "b.c": '"x"', "b.d": "null", "e": '{"f":{"g":1}}', "h": "[1]", "i": '{"j":[2]}'}
 

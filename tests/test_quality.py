@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators import expectations, integrity, keys, lint, privacy, profile, rules
 from rowloom.operators.expectations import Expectation
+from rowloom.plans import joins
 from rowloom.plans.catalog import declared_catalog, measured_catalog
 from rowloom.plans.spec import BusinessRule, ColumnSpec, DatasetSpec, ForeignKey, TableSpec
 
@@ -26,12 +27,24 @@ def test_ref_integrity(family):
 
 
 def test_orphan_rows_hot_and_cold(spark, family, monkeypatch):
-    monkeypatch.setattr(integrity, "HOT_VALUES", 1)
+    monkeypatch.setattr(joins, "HOT_KEYS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
     child = spark.createDataFrame([(i, 99) for i in range(50)] + [(60, 98), (61, 97), (62, 1), (63, None)], "id int, parent_id bigint")
     found = integrity.orphan_rows(child, ["parent_id"], family["parents"], ["id"])
     assert sorted(r.id for r in found.collect()) == [*range(50), 60, 61]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("small", [1, 1_000])
+def test_lookup_with_hot_and_missing_keys(spark, monkeypatch, how, small):
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", small)
+    left = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 30 + [2] * 3 + [9] * 5 + [3, None, None])], "i int, k int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, v string")
+    got = sorted((r.i, r.k, r.v) for r in joins.lookup(left, right, ["k"], how).collect())
+    assert got == sorted((r.i, r.k, r.v) for r in left.join(right, "k", how).collect())
+
+
 def test_composite_reference(spark):
     parent = spark.createDataFrame([(1, "a")], "x int, y string")
     child = spark.createDataFrame([(1, "a"), (1, "b"), (None, "z")], "p int, q string")
