@@ -142,7 +142,7 @@ def url(d: Draws) -> Column:
 def uuid(d: Draws) -> Column:
     """128 bits from the whole key, so no two rows share one."""
     digest = F.md5(F.concat(F.lit(f"{d.seed}/{d.tag}/"), F.expr(d.key).cast("string")))
-    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.concat_ws("-", *[F.substring(digest, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def word(d: Draws) -> Column:
