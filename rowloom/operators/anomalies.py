@@ -45,48 +45,54 @@ def plant(
     cells = [k for k in kinds if k != DUPLICATE_ROW]
     names = [c for c in df.columns if c not in skip]
     texts = text_columns(df, skip)
-    filled = sum((F.col(c).isNotNull().cast("int") for c in texts), F.lit(0))
+    filled = ", ".join(f"IF(`{c}` IS NOT NULL, {i}, NULL)" for i, c in enumerate(texts))
     staged = df.withColumns(
         {
             "_kind": F.when(hit, rng.choose(seed, f"{table}.anomaly.kind", key, list(kinds))),
             "_any": rng.randint(seed, f"{table}.anomaly.column", key, 0, max(len(names), 1) - 1),
             "_enum": rng.randint(seed, f"{table}.anomaly.enum", key, 0, max(len(texts), 1) - 1),
-            "_text": F.shiftright(rng.draw(seed, f"{table}.anomaly.text", key) * filled, 32),
+            "_draw": rng.draw(seed, f"{table}.anomaly.text", key),
         }
     )
-    kind = F.col("_kind")
+    if texts:
+        # Only rows that need it look for their non-null text cells.
+        staged = staged.withColumn(
+            "_filled", F.expr(f"IF(_kind IN ('{EMPTY_STRING}', '{MALFORMED_STRING}'), array_compact(array({filled})), NULL)")
+        ).withColumn("_text", F.expr("get(_filled, int(shiftright(_draw * size(_filled), 32)))"))
     columns = []
-    seen = F.lit(0)
     for name in df.columns:
-        value = F.col(name)
-        if name in skip:
-            columns.append(value)
-            continue
-        planted = None
-        if NULL_FIELD in cells:
-            empty = (kind == NULL_FIELD) & (F.col("_any") == names.index(name))
-            planted = F.when(empty, F.lit(None).cast(df.schema[name].dataType))
+        cases = []
+        if name in names and NULL_FIELD in cells:
+            cases.append(f"WHEN _kind = '{NULL_FIELD}' AND _any = {names.index(name)} THEN NULL")
         if name in texts:
-            here = value.isNotNull() & (F.col("_text") == seen)
-            options = [
-                (INVALID_ENUM, F.col("_enum") == texts.index(name), INVALID_VALUE),
-                (EMPTY_STRING, here, ""),
-                (MALFORMED_STRING, here, MALFORMED_VALUE),
-            ]
-            for option, where, text in options:
-                if option in cells:
-                    condition = (kind == option) & where
-                    planted = (
-                        F.when(condition, F.lit(text)) if planted is None else planted.when(condition, F.lit(text))
-                    )
-            seen = seen + value.isNotNull().cast("int")
-        columns.append(value if planted is None else planted.otherwise(value).alias(name))
-    return staged.select(*columns)
+            at = texts.index(name)
+            for kind, where, text in (
+                (INVALID_ENUM, "_enum", INVALID_VALUE),
+                (EMPTY_STRING, "_text", ""),
+                (MALFORMED_STRING, "_text", MALFORMED_VALUE),
+            ):
+                if kind in cells:
+                    cases.append(f"WHEN _kind = '{kind}' AND {where} = {at} THEN {_escaped(text)}")
+        value = f"`{name}`"
+        columns.append(
+            f"CASE WHEN _kind IS NULL THEN {value} {' '.join(cases)} ELSE {value} END AS {value}" if cases else value
+        )
+    return staged.selectExpr(*columns)
+
+
+def _escaped(text: str) -> str:
+    """SQL literal in which every character outside plain ASCII is escaped."""
+    return "'" + "".join(c if " " <= c <= "~" and c not in "'\\" else f"\\u{ord(c):04x}" for c in text) + "'"
 
 
 def append_duplicates(df: DataFrame, chosen: Column) -> DataFrame:
-    """Append a copy of every chosen row."""
-    return df.unionByName(df.filter(chosen))
+    """Add a copy of every chosen row; the table is read once."""
+    return with_copies(df, chosen, "_copy").drop("_copy")
+
+
+def with_copies(df: DataFrame, chosen: Column, mark: str) -> DataFrame:
+    """As :func:`append_duplicates`, with ``mark`` 0 for the row and 1 for its copy."""
+    return df.withColumn(mark, F.explode(F.when(chosen, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
 
 
 def inject_anomalies(

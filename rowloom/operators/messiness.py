@@ -34,52 +34,58 @@ def to_raw(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cell_draw(seed: int, table: str, column: str, key: str) -> Column:
-    """One draw decides about a cell: its size whether, its lowest bit how."""
-    return rng.draw(seed, f"{table}.{column}.cell", key)
+def row_draw_text(seed: int, table: str, key: str) -> str:
+    return rng.draw_text(seed, f"{table}.mess.cells", key)
 
 
-def _hit(cell: Column, chance: float) -> Column:
-    return cell < F.lit(int(chance * rng.TWO32))
+def cell_draw_text(table: str, column: str, row_draw: str) -> str:
+    """SQL text of a cell's draw: one more mixing round over the row's draw.
 
+    One draw decides about a cell: its size whether, its lowest bit how.
+    """
+    flip = rng.salts(0, f"{table}.{column}")[0]
+    mixed = f"((({row_draw} ^ {flip}L) * {rng.MIX}L) & {rng.LOW32}L)"
+    return f"({mixed} ^ shiftright({mixed}, 16))"
 
-def _coin(cell: Column) -> Column:
-    return cell.bitwiseAND(1) == 0
 
+def _hit(cell: str, chance: float) -> str:
+    return f"{cell} < {int(chance * rng.TWO32)}L"
+
+
+def _coin(cell: str) -> str:
+    return f"({cell} & 1L) = 0L"
+
+
+# Each fault takes the SQL text of a value and of its cell draw and gives the text of the changed value.
 
-def whitespace(value: Column, cell: Column) -> Column:
-    hit = (F.length(value) > 0) & _hit(cell, 0.5)
-    return (
-        F.when(hit & _coin(cell), F.concat(F.lit("  "), value))
-        .when(hit, F.concat(value, F.lit("\t ")))
-        .otherwise(value)
-    )
 
+def whitespace(value: str, cell: str) -> str:
+    changed = f"CASE WHEN {_coin(cell)} THEN concat('  ', {value}) ELSE concat({value}, '\\t ') END"
+    return f"CASE WHEN length({value}) > 0 AND {_hit(cell, 0.5)} THEN {changed} ELSE {value} END"
 
-def casing(value: Column, cell: Column) -> Column:
-    hit = (F.length(value) > 2) & _hit(cell, 0.4)
-    return F.when(hit & _coin(cell), F.lower(value)).when(hit, F.upper(value)).otherwise(value)
 
+def casing(value: str, cell: str) -> str:
+    changed = f"CASE WHEN {_coin(cell)} THEN lower({value}) ELSE upper({value}) END"
+    return f"CASE WHEN length({value}) > 2 AND {_hit(cell, 0.4)} THEN {changed} ELSE {value} END"
 
-def number_hit(value: Column, cell: Column) -> Column:
+
+def number_hit(value: str, cell: str) -> str:
     """Whether a numeric cell arrives as text."""
-    return value.isNotNull() & _hit(cell, 0.5)
+    return f"({value} IS NOT NULL AND {_hit(cell, 0.5)})"
 
 
-def date_format(value: Column, cell: Column) -> Column:
-    hit = value.rlike(ISO_DAY) & _hit(cell, 0.5)
-    day = F.substring_index(value, "T", 1)
-    return (
-        F.when(hit & _coin(cell), F.regexp_replace(day, DAY_PARTS, "$2/$3/$1"))
-        .when(hit, F.regexp_replace(day, DAY_PARTS, "$2-$3-$1"))
-        .otherwise(value)
-    )
+def date_format(value: str, cell: str) -> str:
+    parts = f"regexp_replace(substring_index({value}, 'T', 1), {rng.literal(DAY_PARTS)}"
+    changed = f"CASE WHEN {_coin(cell)} THEN {parts}, '$2/$3/$1') ELSE {parts}, '$2-$3-$1') END"
+    return f"CASE WHEN {_hit(cell, 0.5)} AND {value} RLIKE {rng.literal(ISO_DAY)} THEN {changed} ELSE {value} END"
+
 
+def enum_spelling(value: str, cell: str) -> str:
+    cases = " ".join(f"WHEN '{plain}' THEN '{other}'" for plain, other in SPELLINGS.items())
+    return f"CASE WHEN {_hit(cell, 0.5)} THEN CASE lower({value}) {cases} ELSE {value} END ELSE {value} END"
 
-def enum_spelling(value: Column, cell: Column) -> Column:
-    names = ", ".join(f"'{plain}', '{other}'" for plain, other in SPELLINGS.items())
-    other = F.try_element_at(F.expr(f"map({names})"), F.lower(value))
-    return F.when(_hit(cell, 0.5), F.coalesce(other, value)).otherwise(value)
+
+MUTATORS = {"whitespace": whitespace, "casing": casing, "dates": date_format, "enums": enum_spelling}
 
 
 def apply_messiness(
@@ -97,33 +103,32 @@ def apply_messiness(
     if touched is None:
         touched = rng.below(ROW_SHARE[profile], seed, f"{table}.mess.row", key)
     names = [name for name, _ in BANDS[profile]]
-    listed = ", ".join(f"'{name}'" for name in names)
     band = rng.band_text(rng.uniform_text(seed, f"{table}.mess.kind", key), [end for _, end in BANDS[profile]])
     texts = [
         f.name for f in df.schema.fields
         if isinstance(f.dataType, T.StringType) and f.name not in skip and f.name not in number_columns
     ]
     numbers = list(number_columns) if "numbers" in names else []
-    cells = {f"_cell_{c}": cell_draw(seed, table, c, key) for c in [*texts, *numbers]}
-    # Drawn in a projection of their own, so every draw is computed once.
-    staged = df.withColumns({"_touched": touched, "_fault": F.expr(f"get(array({listed}), {band})"), **cells})
-    fault = F.when(F.col("_touched"), F.col("_fault"))
+    # Drawn in projections of their own, so every draw is computed once. The band beyond the last fault is none.
+    staged = df.withColumns(
+        {"_touched": touched, "_band": F.expr(band), "_row": F.expr(row_draw_text(seed, table, key))}
+    ).withColumns({"_fault": F.expr(f"IF(_touched AND _band < {len(names)}, _band, -1)")})
+    cells = {c: cell_draw_text(table, c, "_row") for c in [*texts, *numbers]}
+    drawn = staged.select(
+        *df.columns, "_fault", *[F.expr(f"{draw} AS `_cell_{c}`") for c, draw in cells.items()]
+    )
     columns = []
     for name in df.columns:
-        value = F.col(name)
         if name not in texts:
-            columns.append(value)
+            columns.append(f"`{name}`")
             continue
-        cell = F.col(f"_cell_{name}")
-        mutated = (
-            F.when(fault == "whitespace", whitespace(value, cell))
-            .when(fault == "casing", casing(value, cell))
-            .when(fault == "dates", date_format(value, cell))
+        cell = f"`_cell_{name}`"
+        faults = " ".join(
+            f"WHEN _fault = {i} THEN {MUTATORS[fault](f'`{name}`', cell)}"
+            for i, fault in enumerate(names) if fault in MUTATORS
         )
-        if "enums" in names:
-            mutated = mutated.when(fault == "enums", enum_spelling(value, cell))
-        columns.append(mutated.otherwise(value).alias(name))
+        columns.append(f"CASE WHEN _fault = -1 THEN `{name}` {faults} ELSE `{name}` END AS `{name}`")
     if numbers:
-        quoted = sum((number_hit(F.col(c), F.col(f"_cell_{c}")).cast("int") for c in numbers), F.lit(0))
-        columns.append(F.when(fault == "numbers", quoted).otherwise(F.lit(0)).alias("as_text_columns"))
-    return staged.select(*columns)
+        quoted = " + ".join(f"int({number_hit(f'`{c}`', f'`_cell_{c}`')})" for c in numbers)
+        columns.append(f"IF(_fault = {names.index('numbers')}, {quoted}, 0) AS as_text_columns")
+    return drawn.selectExpr(*columns)

@@ -191,7 +191,7 @@ def plan_row_counts(spec: DatasetSpec, scale: int, only: Sequence[str] | None =
         if only and name not in only:
             continue
         if name in ("orders", "invoices", "subscriptions"):
-            counts[name] = max(scale // 2, scale * 2)
+            counts[name] = scale * 2
         elif name not in ("users", "customers", "organizations", "products") and any(
             part in name for part in ("line", "item", "detail")
         ):

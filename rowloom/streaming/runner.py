@@ -23,14 +23,15 @@ def event_time(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def run_available(df: DataFrame, label: str) -> DataFrame:
-    """Process everything available, then return what was written.
+def run_available(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Process everything available, then return what was written so far.
 
-    Output and progress are in the shared scratch folder, so a restarted query goes on
-    where it stopped and the sink keeps each batch exactly once.
+    With a ``folder`` of its own a query that is run again goes on where it stopped; the
+    sink keeps each batch exactly once. Otherwise a new scratch folder is used.
     """
     spark = df.sparkSession
-    out, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
+    folder = folder or scratch_path(spark, label)
+    out, progress = f"{folder}/data", f"{folder}/progress"
     query = (
         df.writeStream.format("parquet")
         .option("path", out)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import rng
+from rowloom.functions.rng import salts
 from rowloom.operators import anomalies, change_tags, drift, layers, messiness
 from rowloom.operators.profile import row_counts
 from rowloom.operators.selection import exact_share
@@ -97,11 +98,17 @@ def _u(tag: str) -> str:
 
 
 def _cell(c: str) -> str:
-    return duck.draw(SEED, f"orders.{c}.cell", KEY)
+    flip = salts(0, f"orders.{c}")[0]
+    mixed = f"((xor({duck.draw(SEED, 'orders.mess.cells', KEY)}, {flip}) * {rng.MIX}) & {rng.LOW32})"
+    return f"xor({mixed}, {mixed} >> 16)"
+
+
+def _cell_text(c: str) -> str:
+    return messiness.cell_draw_text("orders", c, messiness.row_draw_text(SEED, "orders", KEY))
 
 
 def _hit(c: str, chance: float) -> str:
-    return f"{_cell(c)} < {int(chance * 4294967296)}"
+    return f"({_cell(c)}) < {int(chance * 4294967296)}"
 
 
 def _coin(c: str) -> str:
@@ -146,7 +153,7 @@ def _fault(name: str, mutate, sql, columns: Sequence[str]) -> None:
     @query(name, f"WITH raw AS ({RAW}) SELECT o_orderkey, {chosen} FROM raw")
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return raw_orders(spark, folder).select(
-            KEY, *[mutate(F.col(c), messiness.cell_draw(SEED, "orders", c, KEY)).alias(c) for c in columns]
+            KEY, *[F.expr(mutate(c, _cell_text(c))).alias(c) for c in columns]
         )
 
 
@@ -163,7 +170,7 @@ _fault("mess_enum", messiness.enum_spelling, enum_sql, ("o_orderstatus", "o_orde
 )
 def mess_num_to_str(spark: SparkSession, folder: str) -> DataFrame:
     raw = raw_orders(spark, folder)
-    hit = messiness.number_hit(F.col("o_totalprice"), messiness.cell_draw(SEED, "orders", "o_totalprice", KEY))
+    hit = F.expr(messiness.number_hit("o_totalprice", _cell_text("o_totalprice")))
     return raw.select(KEY, "o_totalprice", hit.alias("o_totalprice_as_text"))
 
 
@@ -400,12 +407,9 @@ BRONZE = f"""{MESSY}, copies AS (SELECT * REPLACE (o_orderkey AS o_orderkey), 1
 def bronze_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Messy orders with repeated rows; ``arrival`` is the order in which they came."""
     messy = messy_orders(spark, folder).drop("as_text_columns")
-    copies = messy.filter(rng.below(0.1, SEED, "orders.duplicate", KEY))
-
-    def arrived(df: DataFrame, shift: int) -> DataFrame:
-        return df.withColumn("arrival", F.col(KEY) * 2 + shift).withColumn(KEY, F.col(KEY).cast("string"))
-
-    return arrived(messy, 0).unionByName(arrived(copies, 1))
+    copied = anomalies.with_copies(messy, rng.below(0.1, SEED, "orders.duplicate", KEY), "copy")
+    arrival = F.col(KEY) * 2 + F.col("copy")
+    return copied.withColumns({"arrival": arrival, KEY: F.col(KEY).cast("string")}).drop("copy")
 
 
 @query("to_layer", f"{BRONZE} SELECT * FROM gold")

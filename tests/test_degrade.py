@@ -39,10 +39,9 @@ def test_messiness_clean_changes_nothing_and_chaotic_something(spark):
 
 def test_fault_shapes(spark):
     df = spark.createDataFrame([("2024-05-06T01:02:03", "Paid"), ("2024-05-06", "other"), ("x", None)], "d string, s string")
-    hit_even, hit_odd = F.lit(0), F.lit(1)
     got = df.select(
-        messiness.date_format(F.col("d"), hit_even).alias("slash"), messiness.date_format(F.col("d"), hit_odd).alias("dash"),
-        messiness.enum_spelling(F.col("s"), hit_even).alias("s"), messiness.whitespace(F.col("s"), hit_odd).alias("w"),
+        F.expr(messiness.date_format("d", "0L")).alias("slash"), F.expr(messiness.date_format("d", "1L")).alias("dash"),
+        F.expr(messiness.enum_spelling("s", "0L")).alias("s"), F.expr(messiness.whitespace("s", "1L")).alias("w"),
     ).collect()
     assert [r.slash for r in got] == ["05/06/2024", "05/06/2024", "x"]
     assert [r.dash for r in got] == ["05-06-2024", "05-06-2024", "x"]

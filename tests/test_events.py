@@ -88,6 +88,16 @@ def test_contract(spark):
     assert got == {**{c: (reason is None, reason) for c, reason in cases.items()}, None: (False, "Invalid JSON")}
 
 
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    def add(first):
+        spark.range(first, first + 5).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+        return sorted(r.id for r in run_available(stream, "test", str(tmp_path / "query")).collect())
+
+    assert add(0) == list(range(5))
+    assert add(5) == list(range(10))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.range(300).withColumn("ts", F.timestamp_seconds(F.col("id") + 1_700_000_000))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
