@@ -18,8 +18,13 @@ TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
 
 def strip(value: Column) -> Column:
-    """Remove whitespace of any kind at both ends."""
-    return F.btrim(value, F.lit(WHITESPACE))
+    """Remove whitespace of any kind at both ends.
+
+    Most cells begin and end with a printable ASCII character; only the others are trimmed.
+    """
+    first, last = F.substring(value, 1, 1), F.substring(value, -1, 1)
+    suspect = (first <= " ") | (first > "~") | (last <= " ") | (last > "~")
+    return F.when(suspect, F.btrim(value, F.lit(WHITESPACE))).otherwise(value)
 
 
 def blank_to_null(value: Column) -> Column:

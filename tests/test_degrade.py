@@ -2,6 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from rowloom.functions.text import collapse, strip
 from rowloom.operators import anomalies, change_tags, drift, layers, messiness
 
 
@@ -130,3 +131,12 @@ def test_layer_deltas(spark):
     n = {"bronze": 5, "silver": 3, "gold": 1}
     row = layers.layer_deltas({k: {"t": spark.range(v)} for k, v in n.items()}).first()
     assert (row.bronze_to_silver_removed, row.silver_to_gold_removed) == (2, 2)
+
+
+def test_strip_agrees_with_python(spark):
+    cases = ["", " ", "a", " a ", "\x1fa\x85", "\u3000b\u2009", "\u200bz\u200b", "~x~", "\x7fq\x7f", "\u00e9 ", "\n", "x y"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, v string")
+    got = [r.s for r in df.select("i", strip(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got == [c.strip() for c in cases]
+    one = [r.s for r in df.select("i", collapse(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert one == [" ".join(c.split()) for c in cases]
