@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowloom.llm import langid, quality, token_count, toxicity
+from rowloom.llm import langid, license_scan, mixing, nearest, quality, token_count, toxicity
 from rowloom.llm.common import table
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, folder, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -20,12 +29,20 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify_languages(table(spark, folder, "documents"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op6_quality_classifier, op7_toxicity, op8_token_counts, op10_language_id)
+    f.__name__: f
+    for f in (
+        op2_mixing, op5_license_scan, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_nearest_neighbours,
+        op10_language_id,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
