@@ -1,10 +1,14 @@
-"""The corpus pipeline: documents in, a deduplicated, decontaminated and mixed training set out."""
+"""The corpus pipeline: documents in, a filtered, deduplicated, decontaminated and mixed training set out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm.common import stored, table
+from rowloom.llm.decontaminate import drop_contaminated
+from rowloom.llm.line_dedup import drop_repeats
+from rowloom.llm.mixing import mix_sources
+from rowloom.llm.ngram_join import keep_one
 from rowloom.llm.toxicity import drop_toxic
 
 
@@ -13,13 +17,40 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", toxicity)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents of which nothing is left."""
+    return drop_repeats(docs)
 
-#: Trained scores have no SQL twin; tests hold the stages against brute force.
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated to equal weights and shuffled."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: Trained scores have no SQL twin; the tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on the documents; each result is written as Parquet and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,5 +95,38 @@ def pieces(texts: Sequence[str], limit: int) -> Iterator[list[tuple[int, str]]]:
         yield batch
 
 
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound; missing ones are computed on access."""
+
+    BOUND = 400_000
+
+    def __missing__(self, word: str) -> int:
+        self[word] = made = self.digest(word.encode("utf-8", "surrogatepass"))
+        return made
+
+    @staticmethod
+    def digest(word: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.BOUND:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """A hash for each run of ``size`` words, from the words' hashes; none for fewer words."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    made = words[:n].copy()
+    for k in range(1, size):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    return mix(made)

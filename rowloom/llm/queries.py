@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import langid, license_scan, mixing, nearest, quality, token_count, toxicity
+from rowloom.llm import (
+    decontaminate, langid, license_scan, line_dedup, mixing, nearest, ngram_join, quality, token_count, toxicity,
+)
 from rowloom.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, folder, "documents"))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_digest(table(spark, folder, "documents"))
 
@@ -40,9 +54,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_mixing, op5_license_scan, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_nearest_neighbours,
-        op10_language_id,
+        op1_ngram_jaccard_join, op2_mixing, op3_decontamination, op4_line_dedup, op5_license_scan, op6_quality_classifier,
+        op7_toxicity, op8_token_counts, op9_nearest_neighbours, op10_language_id,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_mixing": mixing.ORACLE, "op4_line_dedup": line_dedup.ORACLE,
+}
