@@ -123,20 +123,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     """
     names = docs.columns
     lines, gone = fresh(names, "n_lines"), fresh(names, "n_deleted")
-    found = later_copies(docs, min_words, text).withColumnsRenamed({"_nid": "_g_nid", "_id": "_g_id", "_hash": "_g_hash"})
-    nid, own, digest = _identity(docs, text)
-    joined = docs.join(found, (nid == F.col("_g_nid")) & (own == F.col("_g_id")) & (digest == F.col("_g_hash")), "left")
+    # The row as one column, so that none of its names can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"))
+    body = F.col("row")[text].cast("string")
+    found = later_copies(docs, min_words, text)
+    own = F.col("row")["doc_id"]
+    joined = rows.join(
+        found,
+        (own.isNull() == F.col("_nid")) & (F.coalesce(own.cast("bigint"), F.lit(0).cast("bigint")) == F.col("_id"))
+        & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("_hash")),
+        "left",
+    )
     # Places among the lines that aren't blank become line numbers; what isn't deleted is joined again.
     cut = (
-        joined.withColumn("_g_all", F.when(F.col("_gone").isNotNull(), F.split(F.col(f"`{text}`").cast("string"), "\n")))
-        .withColumn("_g_at", F.expr(f"filter(transform(_g_all, (l, i) -> IF({BLANKS.format('l')} != '', i, -1)), i -> i >= 0)"))
-        .withColumn("_g_kept", F.expr("array_except(sequence(0, size(_g_all) - 1), transform(_gone, g -> get(_g_at, g)))"))
-        .withColumn("_g_text", F.expr("array_join(transform(_g_kept, i -> get(_g_all, i)), '\\n')"))
+        joined.withColumn("_all", F.when(F.col("_gone").isNotNull(), F.split(body, "\n")))
+        .withColumn("_at", F.expr(f"filter(transform(_all, (l, i) -> IF({BLANKS.format('l')} != '', i, -1)), i -> i >= 0)"))
+        .withColumn("_kept", F.expr("array_except(sequence(0, size(_all) - 1), transform(_gone, g -> get(_at, g)))"))
+        .withColumn("_new", F.expr("array_join(transform(_kept, i -> get(_all, i)), '\\n')"))
     )
-    new = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.col("_g_text"))
-    count = F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(r"(?m)^[ \t\r]*[^ \t\r\n]"))
+    new = F.when(F.col("_gone").isNull(), F.col("row")[text]).otherwise(F.col("_new"))
+    count = F.regexp_count(body, F.lit(r"(?m)^[ \t\r]*[^ \t\r\n]"))
     return cut.select(
-        *[(new if c == text else F.col(f"`{c}`")).alias(c) for c in names],
+        *[(new if c == text else F.col("row")[c]).alias(c) for c in names],
         F.coalesce(count, F.lit(0)).cast("bigint").alias(lines),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias(gone),
     )
