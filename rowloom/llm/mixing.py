@@ -100,7 +100,7 @@ def mix_sources(
         joined = keyed.join(F.broadcast(mapped), same)
     else:
         salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
-        salted = mapped.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        salted = mapped.withColumn("_mix_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         joined = keyed.join(salted, same & (salt == F.col("_mix_salt"))).drop("_mix_salt")
     uniform = hashed(str(seed), "count", F.col(key)) / F.lit(float(1 << HASH_BITS))
     repeated = joined.withColumn("_mix_u", uniform).withColumn(

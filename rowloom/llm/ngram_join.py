@@ -229,6 +229,12 @@ def join_similar(docs: DataFrame) -> DataFrame:
         return stored(with_y.mapInPandas(verify, "x bigint, y bigint"), "similar")
 
     comp = classes.select("node", F.col("node").alias("comp")).distinct()
+    # An id with several texts ties their nodes together.
+    member = found.select("doc_id", "set1", "set2").join(classes, ["set1", "set2"]).select("doc_id", "node").distinct()
+    several = member.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("_most")).filter("x != _most")
+    ties = stored(member.join(several, "doc_id").filter("node != x").select("x", F.col("node").alias("y")), "ties")
+    if ties.limit(1).count():
+        comp = components(comp, ties)
     tested = spark.createDataFrame([], "x bigint, y bigint")
     for turn in range(STAR_ROUNDS + 1):
         placed = grams.join(comp, "node")
@@ -249,8 +255,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
             break
         comp = components(comp, check(pairs))
         tested = tested.unionByName(pairs)
-    member = classes.join(comp, "node").select("set1", "set2", "comp")
-    linked = selected.select("doc_id", "n", "set1", "set2").join(member, ["set1", "set2"], "left")
+    of_set = classes.join(comp, "node").select("set1", "set2", "comp")
+    linked = selected.select("doc_id", "n", "set1", "set2").join(of_set, ["set1", "set2"], "left")
     # Rows that share an id are one document, whichever of its texts is linked.
     several = linked.filter("comp IS NOT NULL AND comp != doc_id").groupBy("doc_id").agg(F.min("comp").alias("_least"))
     return linked.join(several, "doc_id", "left").select(
