@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 NEIGHBOURS = 20
 #: Vectors per list aimed at, and most lists: centres are broadcast.
-LIST_ROWS, MOST_LISTS = 1_000, 4_096
+LIST_ROWS, MOST_LISTS = 4_096, 4_096
 #: Vectors the index is fitted on, at most about; and of those, queries on which the number of lists to search is set.
-SAMPLE_ROWS, SAMPLE_QUERIES = 40_000, 300
+SAMPLE_ROWS, SAMPLE_QUERIES = 16_000, 300
 #: Share of true neighbours within the searched lists of the sample.
 TARGET = 0.97
 BLOCK_VECTORS, BLOCK_QUERIES = 4_096, 1_024
