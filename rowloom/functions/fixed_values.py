@@ -86,4 +86,3 @@ NOTE_TEMPLATES = [
     "Compliance check: {event_type} on {entity_id} passed audit.",
 ]
 SEVERITIES = ["low", "medium", "high"]
-EVENT_DENSITIES = {"low": 500, "medium": 2_000, "high": 10_000}

@@ -29,6 +29,11 @@ class Contract:
     types: Mapping[str, str] = field(default_factory=dict)
 
 
+def _path(name: str) -> str:
+    """A property by its exact name, dots and all."""
+    return f'$["{name}"]' if "'" in name else f"$['{name}']"
+
+
 def check_records(df: DataFrame, record: str, contract: Contract) -> DataFrame:
     """Add ``passed`` and ``reason`` (null when passed).
 
@@ -40,7 +45,7 @@ def check_records(df: DataFrame, record: str, contract: Contract) -> DataFrame:
     second = F.try_variant_get("_wrapped", "$[1]", "variant")
     parsed = df.withColumn("_wrapped", wrapped).withColumn("_parsed", F.when(second.isNull(), first))
     fields = {
-        f"_type_{i}": F.schema_of_variant(F.try_variant_get("_parsed", f"$.{name}", "variant"))
+        f"_type_{i}": F.schema_of_variant(F.try_variant_get("_parsed", _path(name), "variant"))
         for i, name in enumerate(contract.types)
     }
     shaped = parsed.withColumns({"_shape": F.substring(F.schema_of_variant("_parsed"), 1, 7), **fields})

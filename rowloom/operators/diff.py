@@ -67,38 +67,48 @@ def compatibility(changes: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(F.col("breaking_count") > 0, "breaking").otherwise("compatible"))
 
 
-def flatten_config(df: DataFrame, key: str, config: str) -> DataFrame:
-    """Rows ``(key, path, value)`` of a JSON configuration column.
+def flatten_config(df: DataFrame, key: str, config: str, *, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(key, *keep, path, value)`` of a JSON configuration column.
 
     A nested object of plain values is opened one level as ``outer.inner``; one that
     holds further objects or lists stays a single value, as does an array.
     """
     tvf = df.sparkSession.tvf
     top = (
-        df.select(key, F.parse_json(config).alias("_config"))
+        df.select(key, *keep, F.parse_json(config).alias("_config"))
         .lateralJoin(tvf.variant_explode(F.col("_config").outer()))
-        .select(key, F.col("key").alias("_outer"), F.col("value").alias("_value"))
+        .select(key, *keep, F.col("key").alias("_outer"), F.col("value").alias("_value"))
     )
     shape = F.schema_of_variant("_value")
-    plain = shape.startswith("OBJECT<") & ~F.substring(shape, 8, 1 << 20).rlike("OBJECT<|ARRAY<")
+    plain = shape.startswith("OBJECT<") & ~F.substr(shape, F.lit(8)).rlike("OBJECT<|ARRAY<")
     opened = (
         top.withColumn("_open", plain)
         .withColumn("_inside", F.when(F.col("_open"), F.col("_value")))
         .lateralJoin(tvf.variant_explode_outer(F.col("_inside").outer()).toDF("_pos", "_inner", "_part"))
     )
     return opened.filter(~F.col("_open") | F.col("_inner").isNotNull()).select(
-        key,
+        key, *keep,
         F.concat_ws(".", "_outer", "_inner").alias("path"),
         F.to_json(F.when(F.col("_open"), F.col("_part")).otherwise(F.col("_value"))).alias("value"),
     )
 
 
 def config_diff(left: DataFrame, right: DataFrame, key: str, config: str) -> DataFrame:
-    """Paths whose values differ between two versions of each configuration."""
-    l = flatten_config(left, key, config).withColumnRenamed("value", "left_value")
-    r = flatten_config(right, key, config).withColumnRenamed("value", "right_value")
-    return l.join(r, [key, "path"], "full_outer").filter(
-        ~F.col("left_value").eqNullSafe(F.col("right_value"))
+    """Paths whose values differ between two versions of each configuration; keys are unique and not null.
+
+    Versions meet by key alone, and equal texts go at once. Only what is left is opened; both sides of a
+    key are then in one task already, so paths need no shuffle of their own.
+    """
+    l = left.select(key, F.col(config).alias("_l"))
+    r = right.select(key, F.col(config).alias("_r"))
+    changed = l.join(r, key, "full_outer").filter(~F.col("_l").eqNullSafe(F.col("_r")))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"_{s}").alias("text")) for s in ("l", "r")])
+    texts = changed.select(key, F.explode(sides).alias("s")).select(key, F.col("s.side").alias("_side"), F.col("s.text").alias("_text"))
+    values = flatten_config(texts.filter("_text IS NOT NULL"), key, "_text", keep=["_side"])
+    return (
+        values.groupBy(key, "path")
+        .agg(*[F.max(F.when(F.col("_side") == s, F.col("value"))).alias(n) for s, n in (("l", "left_value"), ("r", "right_value"))])
+        .filter(~F.col("left_value").eqNullSafe(F.col("right_value")))
     )
 
 

@@ -15,7 +15,6 @@ from rowloom.operators.indexing import dense_index
 
 LATE_SECONDS = (60, 3600)
 REPLAY_CHUNKS = 5
-MAX_ORPHANS_LISTED = 100
 
 
 def event_times(
@@ -98,40 +97,36 @@ def support_notes(events: DataFrame, position: str, chosen: Column, seed: int) -
 
 
 def link_totals(events: DataFrame, notes: DataFrame) -> DataFrame:
-    """One row: events, notes, matched and orphan links, coverage."""
-    ids = events.filter(F.col("event_id").isNotNull()).select(F.col("event_id").alias("_id")).distinct()
+    """One row: events, notes, matched and orphan links, coverage.
+
+    Notes are counted per link first; events only say which links exist, so their ids aren't made distinct.
+    """
     linked = notes.filter(F.col("linked_event_id").isNotNull()).groupBy("linked_event_id").agg(
         F.count(F.lit(1)).alias("notes")
     )
-    marked = linked.join(ids.withColumn("_hit", F.lit(True)), F.col("linked_event_id") == F.col("_id"), "left")
-    links = marked.agg(
-        F.coalesce(F.sum("notes"), F.lit(0)).alias("linked_notes"),
-        F.count_if(F.col("_hit").isNotNull()).alias("linked_event_count"),
-        F.count_if(F.col("_hit").isNull() & (F.col("linked_event_id") != "")).alias("orphan_link_count"),
-        F.lit(0).cast("bigint").alias("total_events"),
-    )
-    total = events.agg(F.count(F.lit(1)).alias("total_events")).select(
-        F.lit(0).cast("bigint").alias("linked_notes"), F.lit(0).cast("bigint").alias("linked_event_count"),
-        F.lit(0).cast("bigint").alias("orphan_link_count"), "total_events",
-    )
+    hits = linked.join(events.select(F.col("event_id").alias("linked_event_id")), "linked_event_id", "left_semi")
+    named = F.col("linked_event_id") != ""
+
+    def totals(df: DataFrame, **given: Column) -> DataFrame:
+        names = ("linked_notes", "linked_event_count", "orphan_link_count", "total_events")
+        return df.agg(*[given.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    parts = totals(linked, linked_notes=F.coalesce(F.sum("notes"), F.lit(0)), orphan_link_count=F.count_if(named))
+    parts = parts.unionByName(totals(hits, linked_event_count=F.count(F.lit(1)), orphan_link_count=-F.count_if(named)))
+    parts = parts.unionByName(totals(events, total_events=F.count(F.lit(1))))
     share = F.col("linked_event_count").cast("double") / F.greatest(F.lit(1), F.col("total_events")).cast("double")
-    return (
-        links.unionByName(total)
-        .agg(*[F.sum(c).alias(c) for c in total.columns])
-        .withColumn("coverage_ratio", half_up(share, 4))
-    )
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).withColumn("coverage_ratio", half_up(share, 4))
 
 
-def orphan_links(events: DataFrame, notes: DataFrame, limit: int = MAX_ORPHANS_LISTED) -> DataFrame:
-    """The first orphan link ids in order; the report lists a bounded number of them."""
-    return (
+def orphan_links(events: DataFrame, notes: DataFrame, limit: int | None = None) -> DataFrame:
+    """All orphan link ids; with a limit the first ones in order."""
+    orphans = (
         notes.filter(F.col("linked_event_id") != "")
         .select("linked_event_id")
         .distinct()
         .join(events.select(F.col("event_id").alias("linked_event_id")), "linked_event_id", "left_anti")
-        .orderBy("linked_event_id")
-        .limit(limit)
     )
+    return orphans if limit is None else orphans.orderBy("linked_event_id").limit(limit)
 
 
 def link_breakdown(notes: DataFrame) -> DataFrame:

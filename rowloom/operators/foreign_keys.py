@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.operators.indexing import dense_index
-from rowloom.plans.joins import BROADCAST_ROWS
+
+#: Parents up to which their positions, two narrow columns, are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def assign_foreign_key(

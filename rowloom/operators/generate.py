@@ -123,8 +123,12 @@ def _date(draws: providers.Draws) -> Column:
     return F.date_add(F.lit("2020-01-01").cast("date"), draws.integer(0, 1825, "day").cast("int"))
 
 
+#: Length of a text column that declares none.
+DEFAULT_TEXT = 255
+
+
 def _text(column: ColumnSpec, draws: providers.Draws, index: str) -> Column:
-    longest = column.max_length or 255
+    longest = column.max_length or DEFAULT_TEXT
     if column.unique:
         value = F.concat_ws(
             "_", draws.pick(providers.WORDS, "word"), F.expr(index).cast("string"),
@@ -132,11 +136,12 @@ def _text(column: ColumnSpec, draws: providers.Draws, index: str) -> Column:
         )
         return F.substring(value, 1, longest)
     shortest = column.min_length or 1
-    top = min(longest, 255)
-    length = F.greatest(F.lit(5), draws.integer(min(shortest, top), top, "length"))
+    length = F.greatest(F.lit(5), draws.integer(min(shortest, longest), longest, "length"))
     words = F.concat_ws(" ", *[draws.pick(providers.WORDS, f"word{i}") for i in range(4)])
     filler = F.concat(words, F.lit(". "))
-    return F.substring(F.repeat(filler, 12), F.lit(1), F.least(length, F.lit(longest)).cast("int"))
+    # Rounded up, so that any length is filled.
+    times = (length / F.length(filler)).cast("int") + 1
+    return F.substring(F.repeat(filler, times), F.lit(1), F.least(length, F.lit(longest)).cast("int"))
 
 
 def column_value(table: TableSpec, column: ColumnSpec, seed: int, index: str, locale: str) -> Column:

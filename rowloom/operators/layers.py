@@ -21,6 +21,10 @@ def _map_text(df: DataFrame, change) -> DataFrame:
     )
 
 
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
+
+
 def silver_clean(df: DataFrame, key: str) -> DataFrame:
     """Strip text; blanks become null, except in the key."""
     return _map_text(df, lambda name, value: strip(value) if name == key else blank_to_null(strip(value)))
@@ -45,7 +49,8 @@ def gold_normalize(df: DataFrame) -> DataFrame:
 def to_layer(df: DataFrame, layer: str, key: str, order: str) -> DataFrame:
     if layer == "bronze":
         return df
-    silver = keep_first(silver_clean(df, key), key, order)
+    # Only the key decides which rows stay; the other text is cleaned once they are fewer.
+    silver = silver_clean(keep_first(df.withColumn(key, strip(F.col(key))) if _is_text(df, key) else df, key, order), key)
     return silver if layer == "silver" else gold_normalize(silver)
 
 

@@ -39,7 +39,8 @@ def _row_digest(df: DataFrame):
     for f in df.schema.fields:
         value = F.col(f"`{f.name}`")
         text = number_text(value, f.dataType) if isinstance(f.dataType, T.NumericType) else value.cast("string")
-        cells.append(F.coalesce(text, F.lit("~")))
+        # The length tells cells apart, whatever they hold; a null has none.
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.md5(F.concat_ws("|", *cells))
 
 
@@ -49,10 +50,10 @@ def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
     Two independent slices of each row's digest are combined, one by sum and one by
     exclusive or, so that neither repeated nor swapped rows cancel out.
     """
-    digest = _row_digest(df)
-    halves = df.select(
-        F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").alias("left"),
-        F.conv(F.substring(digest, 9, 15), 16, 10).cast("bigint").alias("right"),
+    digests = df.select(_row_digest(df).alias("d"))
+    halves = digests.select(
+        F.conv(F.substring("d", 1, 8), 16, 10).cast("bigint").alias("left"),
+        F.conv(F.substring("d", 9, 15), 16, 10).cast("bigint").alias("right"),
     )
     return halves.agg(
         F.lit(table).alias("table_name"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.operators.integrity import orphan_values
 from rowloom.operators.keys import duplicate_totals
@@ -18,12 +20,16 @@ SAMPLES_TOTAL = 50
 SUM_TOLERANCE = 1e-6
 
 
-def violated(rule: BusinessRule) -> Column:
-    """True where a row breaks the rule, false where it holds or can't be judged."""
+def violated(rule: BusinessRule, df: DataFrame | None = None) -> Column:
+    """True where a row breaks the rule, false where it holds or can't be judged.
+
+    With the table given, text is compared to numbers and times by what it parses to; text that doesn't parse can't
+    be judged.
+    """
     if rule.kind == "order":
-        broken = ~F.expr(rule.expression)
+        broken = ~_ordered(rule.expression, df)
     elif rule.kind == "range":
-        broken = _outside(rule)
+        broken = _outside(rule, df)
     elif rule.kind == "equality":
         left, right = rule.expression.split("==", 1)
         broken = ~F.expr(left).eqNullSafe(F.expr(right))
@@ -43,21 +49,53 @@ def violated(rule: BusinessRule) -> Column:
     return F.coalesce(broken, F.lit(False))
 
 
-def _outside(rule: BusinessRule) -> Column:
+ORDER_SIGN = re.compile(r"(<=|>=|<(?![=>])|(?<![<])>(?!=))")
+
+
+def _ordered(expression: str, df: DataFrame | None) -> Column:
+    sides = ORDER_SIGN.split(expression)
+    if df is None or len(sides) != 3:
+        return F.expr(expression)
+    left, sign, right = F.expr(sides[0]), sides[1], F.expr(sides[2])
+    kinds = [f.dataType for f in df.select(left.alias("l"), right.alias("r")).schema.fields]
+    text = [isinstance(k, T.StringType) for k in kinds]
+    if text[0] and not text[1]:
+        left = left.try_cast("double" if isinstance(kinds[1], T.NumericType) else kinds[1])
+    elif text[1] and not text[0]:
+        right = right.try_cast("double" if isinstance(kinds[0], T.NumericType) else kinds[0])
+    elif all(text):
+        # Two texts are numbers if both parse, else plain text.
+        numbers = [side.try_cast("double") for side in (left, right)]
+        both = numbers[0].isNotNull() & numbers[1].isNotNull()
+        return F.when(both, _compared(numbers[0], sign, numbers[1])).otherwise(_compared(left, sign, right))
+    elif isinstance(kinds[0], T.NumericType) != isinstance(kinds[1], T.NumericType):
+        return F.lit(True)
+    return _compared(left, sign, right)
+
+
+def _compared(left: Column, sign: str, right: Column) -> Column:
+    return {"<=": left <= right, ">=": left >= right, "<": left < right, ">": left > right}[sign]
+
+
+def _outside(rule: BusinessRule, df: DataFrame | None) -> Column:
+    kinds = dict(df.dtypes) if df is not None else {}
     broken = F.lit(False)
     for name in rule.fields:
-        value = F.col(name)
-        if rule.params.get("min") is not None:
-            broken = broken | F.coalesce(value < F.lit(rule.params["min"]), F.lit(False))
-        if rule.params.get("max") is not None:
-            broken = broken | F.coalesce(value > F.lit(rule.params["max"]), F.lit(False))
+        for bound, sign in (("min", "<"), ("max", ">")):
+            limit = rule.params.get(bound)
+            if limit is None:
+                continue
+            value = F.col(name)
+            if kinds.get(name) == "string" and not isinstance(limit, str):
+                value = value.try_cast("double")
+            broken = broken | F.coalesce(_compared(value, sign, F.lit(limit)), F.lit(False))
     return broken
 
 
 def row_violations(df: DataFrame, table: str, rules: Sequence[BusinessRule]) -> DataFrame:
     """Violations of all row rules of a table in a single aggregation pass."""
     own = [r for r in rules if r.table == table and r.kind in ROW_RULES]
-    totals = df.agg(*[F.count_if(violated(r)).alias(f"v_{i}") for i, r in enumerate(own)])
+    totals = df.agg(*[F.count_if(violated(r, df)).alias(f"v_{i}") for i, r in enumerate(own)])
     entries = [
         F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.col(f"v_{i}").alias("violations"))
         for i, r in enumerate(own)
@@ -71,21 +109,25 @@ def sum_violations(parent: DataFrame, child: DataFrame, rule: BusinessRule) -> D
     """Parents whose total differs from the sum of their children.
 
     Children are summed per parent before the join; money is summed as decimals so
-    that the result does not depend on the order of addition.
+    that the result does not depend on the order of addition. A NaN among the children or as the total
+    can't be judged; an infinite child never equals a finite total.
     """
     p = rule.params
     tolerance = F.lit(p.get("tolerance", SUM_TOLERANCE))
+    amount = F.col(p["child_field"]).try_cast("double")
+    finite = ~F.isnan(amount) & (F.abs(amount) < float("inf"))
     sums = child.groupBy(F.col(p["child_key"]).alias("_key")).agg(
-        F.sum(F.col(p["child_field"]).cast("decimal(28,6)")).alias("_sum")
+        F.sum(F.when(finite, F.col(p["child_field"]).try_cast("decimal(28,6)"))).alias("_sum"),
+        F.sum(F.when(~finite, amount)).alias("_odd"),
     )
     total = F.col(p["total_field"])
-    summed = F.coalesce(F.col("_sum"), F.lit(0)).cast("double")
+    summed = F.coalesce(F.col("_sum"), F.lit(0)).cast("double") + F.coalesce("_odd", F.lit(0.0))
     return (
         parent.filter(total.isNotNull())
         .join(sums, F.col(p["parent_key"]) == F.col("_key"), "left")
-        .filter(F.abs(total - summed) > tolerance)
+        .filter(~F.isnan(summed) & ~F.isnan(total.cast("double")) & (F.abs(total - summed) > tolerance))
         .withColumn("children_sum", summed)
-        .drop("_key", "_sum")
+        .drop("_key", "_sum", "_odd")
     )
 
 
@@ -129,7 +171,7 @@ def violation_samples(
     group stays small however many rows break it.
     """
     own = [r for r in rules if r.table == table and r.kind in ROW_RULES]
-    names = F.array(*[F.when(violated(r), F.lit(r.name)) for r in own])
+    names = F.array(*[F.when(violated(r, df), F.lit(r.name)) for r in own])
     broken = df.withColumn("rule", F.explode(names)).filter(F.col("rule").isNotNull())
     rank = F.row_number().over(Window.partitionBy("rule").orderBy(order))
     return (

@@ -18,42 +18,44 @@ from rowloom.functions.shapes import half_up
 from rowloom.plans.catalog import union_all
 from rowloom.plans.joins import lookup
 
-ERROR_CHARS = 80
+#: Newest runs that are kept, up to which their ids are broadcast.
+BROADCAST_RUNS = 200_000
 
 
-def run_metrics(runs: DataFrame) -> DataFrame:
+def run_metrics(runs: DataFrame, error_chars: int | None = None) -> DataFrame:
     """Long table ``(metric, label, value)``: counts by type and status, failures by the
-    first line of their error, number of runs, total rows and mean duration."""
+    first line of their error (its first ``error_chars`` characters, if given), number of runs, total rows and mean
+    duration. One pass: each run counts for all of its metrics at once.
+    """
     rows = F.coalesce("summary.total_rows", "summary.total_rows_generated", "summary.rows_generated")
-    error = F.substring(F.substring_index(F.coalesce("error_message", F.lit("unknown")), "\n", 1), 1, ERROR_CHARS)
-
-    def by(metric: str, df: DataFrame, label: Column) -> DataFrame:
-        return df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-            F.lit(metric).alias("metric"), "label", "value"
-        )
-
-    totals = runs.agg(
-        F.count(F.lit(1)).cast("double").alias("total_runs"),
-        F.coalesce(F.sum(rows), F.lit(0)).cast("double").alias("total_rows"),
-        half_up(
-            F.sum(F.col("duration_seconds").cast("decimal(28,6)")).cast("double") / F.count("duration_seconds"), 2
-        ).alias("average_duration_seconds"),
+    error = F.substring_index(F.coalesce("error_message", F.lit("unknown")), "\n", 1)
+    if error_chars is not None:
+        error = F.substring(error, 1, error_chars)
+
+    def entry(metric: str, label: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.alias("label"))
+
+    everything = F.lit("all")
+    entries = F.array(
+        entry("runs_by_type", F.coalesce("run_type", F.lit("generate"))),
+        entry("runs_by_status", F.coalesce("status", F.lit("unknown"))),
+        F.when(F.col("status") == "failed", entry("failures", error)),
+        *[entry(m, everything) for m in TOTALS],
     )
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
-        for name in ("total_runs", "total_rows", "average_duration_seconds")
-    ])
-    overall = totals.select(F.explode(entries).alias("e")).select(
-        "e.metric", F.lit("all").alias("label"), "e.value"
-    )
-    return union_all(
-        [
-            by("runs_by_type", runs, F.coalesce("run_type", F.lit("generate"))),
-            by("runs_by_status", runs, F.coalesce("status", F.lit("unknown"))),
-            by("failures", runs.filter("status = 'failed'"), error),
-            overall,
-        ]
+    seconds = F.col("duration_seconds")
+    counted = runs.select(rows.cast("bigint").alias("_rows"), seconds.cast("decimal(28,6)").alias("_seconds"), F.lit(1).alias("_one"), F.explode(entries).alias("e"))
+    # So that the totals of a log without runs are there too.
+    none = runs.sparkSession.createDataFrame([(m, "all") for m in TOTALS], "metric string, label string")
+    none = none.select(F.lit(None).cast("bigint").alias("_rows"), F.lit(None).cast("decimal(28,6)").alias("_seconds"), F.lit(0).alias("_one"), F.struct("metric", "label").alias("e"))
+    sums = counted.filter("e IS NOT NULL").unionByName(none).groupBy("e.metric", "e.label").agg(
+        F.sum("_one").cast("double").alias("runs"), F.coalesce(F.sum("_rows"), F.lit(0)).cast("double").alias("rows"),
+        half_up(F.sum("_seconds").cast("double") / F.nullif(F.count("_seconds"), F.lit(0)), 2).alias("mean"),
     )
+    value = F.when(F.col("metric") == "total_rows", F.col("rows")).when(F.col("metric") == "average_duration_seconds", F.col("mean"))
+    return sums.select("metric", "label", value.otherwise(F.col("runs")).alias("value"))
+
+
+TOTALS = ("total_runs", "total_rows", "average_duration_seconds")
 
 
 def run_timeline(runs: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def retention_candidates(runs: DataFrame, policy: RetentionPolicy, now: Column)
     if policy.max_age_days:
         too_old = F.col("age_days") > F.lit(float(policy.max_age_days))
     return (
-        runs.join(F.broadcast(newest), "run_id", "left")
+        runs.join(F.broadcast(newest) if policy.keep_newest <= BROADCAST_RUNS else newest, "run_id", "left")
         .withColumn("age_days", age)
         .filter(removable & (~kept | too_old))
         .select("run_id", "run_type", "status", "created_at", "age_days")
@@ -178,12 +180,17 @@ def search_text(
 def mask_secrets(config: str) -> Column:
     """JSON text in which string values under secret-looking keys are masked, at any depth.
 
-    Works on the text itself, so the rest of the document stays as it was.
+    Works on the text itself, so the rest of the document stays as it was. Escaped backslashes and quotes are
+    set aside as two characters no text should hold (one that does gets them as JSON escapes), so that a string is
+    just what stands between two quotes and its length doesn't matter. Only strings are masked.
     """
-    body = r'[^"\\]*(?:\\.[^"\\]*)*'
+    slash, quote = "\ufdd0", "\ufdd1"
     key = "|".join(fixed.SECRET_KEY_PARTS)
-    pattern = rf'(?<!\\)("(?=[^"]*(?i:{key}))[^"\\]*"\s*:\s*)"(?!"){body}"'
-    return F.regexp_replace(F.col(config), pattern, f'$1"{fixed.SECRET_MASK}"')
+    pattern = rf'("(?=[^"]*(?i:{key}))[^"]*+"\s*:\s*)"(?!")[^"]*+"'
+    text = F.replace(F.replace(F.col(config), F.lit(slash), F.lit("\\ufdd0")), F.lit(quote), F.lit("\\ufdd1"))
+    text = F.replace(F.replace(text, F.lit("\\\\"), F.lit(slash)), F.lit('\\"'), F.lit(quote))
+    masked = F.regexp_replace(text, pattern, f'$1"{fixed.SECRET_MASK}"')
+    return F.replace(F.replace(masked, F.lit(quote), F.lit('\\"')), F.lit(slash), F.lit("\\\\"))
 
 
 def run_lineage(runs: DataFrame, scenarios: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def exact_share(
     wanted = F.greatest(F.lit(at_least), F.floor(F.sum("n").over(_everything()) * F.lit(float(ratio))))
     if at_most is not None:
         wanted = F.least(wanted, F.lit(at_most))
-    if ratio >= 1:
+    if ratio >= 1 and at_most is None:
         return F.lit(True)
     first = _cut(hashed.groupBy(slot.alias("at")).agg(F.count(F.lit(1)).alias("n")), wanted)
     draws = rng.draw(seed, tag, key)

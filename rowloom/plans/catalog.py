@@ -48,6 +48,28 @@ def _measure(name: str, df: DataFrame) -> DataFrame:
     )
 
 
+def schema_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``table_name, ordinal, column_name, data_type`` of every column, from the schemas alone; reads no table.
+
+    A dataset has at most a few thousand columns, which bounds this local table.
+    """
+    rows = [
+        (name, i, f.name, f.dataType.simpleString())
+        for name, df in tables.items()
+        for i, f in enumerate(df.schema.fields)
+    ]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, data_type string")
+
+
+def counted_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The schema catalog with ``row_count``; tables are counted without reading any column."""
+    counts = union_all(
+        [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, df in tables.items()]
+    )
+    return schema_catalog(tables).join(counts, "table_name")
+
+
 def declared_catalog(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """The spec as rows. Duplicate names are kept, so that they can be reported."""
     rows = [

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-HOT_KEYS = 1_000
+#: A lookup side is broadcast up to this size.
+BROADCAST_BYTES = 16 << 20
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a lookup side may be broadcast; counted, not guessed."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether the optimizer's bound on the size lets a lookup side be broadcast; runs no job.
+
+    File sizes are of compressed columns, hence the bound well below what executors hold. Plans whose size isn't
+    known count as large.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
 def filled(keys: Sequence[str]) -> Column:
@@ -24,9 +28,14 @@ def filled(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The most frequent keys, at most ``HOT_KEYS`` of them; counted on the map side first."""
+    """Keys with more rows than a shuffle partition should hold; fewer than there are partitions.
+
+    Rows are counted on the map side first.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, df.count() // partitions)
     counted = df.filter(filled(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys)
+    return counted.filter(F.col("_rows") > share).select(*keys)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -34,7 +43,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
 
     A small table is broadcast. Otherwise rows with a hot key meet the few table rows
     they need by broadcast, rows without a key are set aside, and only the remaining
-    rows, none of whose keys is among the most frequent, are shuffled.
+    rows, none of whose keys fills a partition, are shuffled.
     """
     keys = list(keys)
     if is_small(right):
@@ -53,7 +62,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
 def without_match(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
     """Rows with a complete key that the right side lacks; works on streams.
 
-    ``hot`` holds the known frequent keys, at most ``HOT_KEYS``; a stream can't find
+    ``hot`` holds the known frequent keys, few enough to broadcast; a stream can't find
     its own, a table's are counted.
     """
     keys = list(keys)
@@ -64,7 +73,7 @@ def without_match(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: D
         if left.isStreaming:
             return complete.join(right, keys, "left_anti")
         hot = hot_keys(left, keys)
-    hot = F.broadcast(hot.limit(HOT_KEYS))
+    hot = F.broadcast(hot)
     few = right.join(hot, keys, "left_semi").distinct()
     by_broadcast = complete.join(hot, keys, "left_semi").join(F.broadcast(few), keys, "left_anti")
     by_shuffle = complete.join(hot, keys, "left_anti").join(right, keys, "left_anti")

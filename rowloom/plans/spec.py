@@ -34,9 +34,6 @@ LOGICAL_TYPES: dict[str, T.DataType] = {
 }
 
 GENERATION_RULES = ("faker", "uuid", "sequence", "range", "static", "weighted_choice")
-MAX_TABLES = 100
-MAX_COLUMNS = 200
-MAX_FOREIGN_KEYS = 100
 
 
 @dataclass(frozen=True)

@@ -10,9 +10,13 @@ FORMATS = ("csv", "json", "jsonl", "ndjson", "parquet")
 LAYERS = ("bronze", "silver", "gold")
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Every value is text and an empty field is empty text, not null."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
+    """Every value is text and an empty field is empty text, not null.
+
+    Cells may hold line breaks, so each file is read by one task; without them pass ``line_breaks=False``, and
+    large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = reader.csv(path)
@@ -49,19 +53,16 @@ def scan(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def list_tables(spark: SparkSession, folder: str) -> dict[str, tuple[str, str]]:
     """``{table: (path, format)}`` of the files or part folders directly under a folder.
 
-    Only file names are listed; contents are not read. A folder holds at most a few
-    hundred tables, which is what comes back to the driver.
+    Lists one level of the file system; part files are neither listed nor read. Empty files are no tables.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    )
-    root = folder.rstrip("/").rsplit("/", 1)[-1]
-    entry = F.regexp_extract("path", rf"/\Q{root}\E/([^/]+)", 1)
-    names = files.filter("length > 0").select(entry.alias("entry")).distinct().collect()
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
+    names = [entry.getPath().getName() for entry in found if entry.isDirectory() or entry.getLen() > 0]
     tables = {}
-    for name in sorted(row["entry"] for row in names):
+    for name in sorted(names):
         stem, _, suffix = name.rpartition(".")
-        if stem and suffix.lower() in FORMATS:
+        if stem and not name.startswith((".", "_")) and suffix.lower() in FORMATS:
             tables[stem] = (f"{folder.rstrip('/')}/{name}", suffix.lower())
     return tables
 
@@ -84,7 +85,7 @@ def load_layered(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         try:
             inner = list_tables(spark, f"{folder.rstrip('/')}/{layer}")
         except Exception as error:  # the layer folder may not exist
-            if "PATH_NOT_FOUND" not in str(error):
+            if "FileNotFoundException" not in str(error):
                 raise
             continue
         for name, place in inner.items():

@@ -13,6 +13,7 @@ from rowloom.operators.layers import gold_normalize, keep_first, silver_clean
 from rowloom.sources.readers import scan
 
 BATCH_ROWS = 1_000
+CSV_FILE_ROWS = 500_000
 
 # Nulls are written out and times keep their microseconds.
 JSON_OPTIONS = {
@@ -23,8 +24,10 @@ JSON_OPTIONS = {
 
 
 def write_csv(df: DataFrame, path: str) -> str:
+    """Cells are written as they are, with blanks and line breaks. Files stay small enough to be read whole."""
     text = df.select(*[as_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
-    text.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    whole = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    text.write.mode("errorifexists").options(**whole, maxRecordsPerFile=CSV_FILE_ROWS).csv(path)
     return path
 
 

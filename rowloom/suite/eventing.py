@@ -159,7 +159,7 @@ def link_report(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "link_orphans",
     f"""{LINKED} SELECT DISTINCT linked_event_id FROM linked WHERE linked_event_id <> ''
-    AND linked_event_id NOT IN (SELECT event_id FROM made) ORDER BY 1 LIMIT 100""",
+    AND linked_event_id NOT IN (SELECT event_id FROM made)""",
 )
 def link_orphans(spark: SparkSession, folder: str) -> DataFrame:
     return events.orphan_links(*_linked(spark, folder))

@@ -315,12 +315,12 @@ _shape("dist_long_tail", "float", Shape("long_tail", {"head_ratio": 0.9, "tail_s
 @query(
     "assign_fk",
     """WITH parents AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position
-                        FROM customer WHERE c_acctbal > 0)
+                        FROM customer)
        SELECT o_orderkey, o_totalprice, c_custkey AS owner_key
        FROM orders JOIN parents ON position = o_orderkey % (SELECT count(*) FROM parents)""",
 )
 def assign_fk(spark: SparkSession, folder: str) -> DataFrame:
-    owners = table(spark, folder, "customer").filter("c_acctbal > 0")
+    owners = table(spark, folder, "customer")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     return assign_foreign_key(orders, "o_orderkey", "owner_key", owners, "c_custkey")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import fixed_values as fixed
 from rowloom.operators import expectations, integrity, keys, privacy, profile, rules
 from rowloom.operators.expectations import Expectation
-from rowloom.plans.catalog import measured_catalog, union_all
+from rowloom.plans.catalog import counted_catalog, union_all
 from rowloom.plans.joins import lookup
 from rowloom.plans.spec import BusinessRule, ColumnSpec, DatasetSpec, ForeignKey, TableSpec
 from rowloom.suite import duck
@@ -491,7 +491,7 @@ CLASSIFIED = f"""SELECT *, {_override_sql('free_text_sensitive', _match_sql(0))}
 
 
 def classified(spark: SparkSession, folder: str) -> DataFrame:
-    return privacy.classify(measured_catalog(tables(spark, folder)), OVERRIDES)
+    return privacy.classify(counted_catalog(tables(spark, folder)), OVERRIDES)
 
 
 @query("pii_classify", CLASSIFIED)

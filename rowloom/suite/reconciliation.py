@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators import diff, drift, reconcile
 from rowloom.operators.profile import row_counts
-from rowloom.plans.catalog import measured_catalog, union_all
+from rowloom.plans.catalog import counted_catalog, schema_catalog, union_all
 from rowloom.plans.scratch import scratch_path
 from rowloom.sources.writers import write_parquet
 from rowloom.suite.registry import TABLES, catalog_sql, query, table, tables
@@ -31,14 +31,14 @@ def _signature_sql(name: str, columns: dict[str, str], source: str) -> str:
 
 @query("schema_signature", " UNION ALL ".join(_signature_sql(t, c, t) for t, c in TABLES.items()))
 def schema_signature(spark: SparkSession, folder: str) -> DataFrame:
-    return reconcile.schema_signature(measured_catalog(tables(spark, folder)))
+    return reconcile.schema_signature(counted_catalog(tables(spark, folder)))
 
 
 PRINTED = ("customer", "orders", "lineitem", "part")
 
 
 def _fingerprint_sql(name: str) -> str:
-    cells = " || '|' || ".join(f"coalesce({c}::VARCHAR, '~')" for c in TABLES[name])
+    cells = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in TABLES[name])
     return (
         f"SELECT '{name}' AS table_name, count(*) AS row_count, "
         f"sum(('0x' || substr(d, 1, 8))::BIGINT)::VARCHAR AS digest_sum, "
@@ -67,7 +67,7 @@ def _promised(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def _signed(of: dict[str, DataFrame]) -> DataFrame:
-    return reconcile.schema_signature(measured_catalog(of))
+    return reconcile.schema_signature(counted_catalog(of))
 
 
 @query(
@@ -95,13 +95,13 @@ def reconcile_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "missing_columns",
-    f"""SELECT table_name, column_name, ordinal, data_type, row_count, null_count
+    f"""SELECT table_name, column_name, ordinal, data_type, row_count
     FROM ({catalog_sql('orders', 'customer', 'supplier', 'part')})
     WHERE table_name = 'part' OR (table_name = 'orders' AND column_name = 'o_orderdate')""",
 )
 def missing_columns(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.missing_columns(
-        measured_catalog(_promised(spark, folder)), measured_catalog(_delivered(spark, folder))
+        counted_catalog(_promised(spark, folder)), counted_catalog(_delivered(spark, folder))
     )
 
 
@@ -117,7 +117,7 @@ def missing_columns(spark: SparkSession, folder: str) -> DataFrame:
 def run_reconciliation(spark: SparkSession, folder: str) -> DataFrame:
     promised, delivered = _promised(spark, folder), _delivered(spark, folder)
     return reconcile.run_reconciliation(
-        row_counts(promised), measured_catalog(promised), delivered, measured_catalog(delivered),
+        row_counts(promised), counted_catalog(promised), delivered, counted_catalog(delivered),
         {"orders": ["o_orderkey"], "customer": ["c_nationkey", "c_mktsegment"]},
     )
 
@@ -146,7 +146,7 @@ CHANGES = """SELECT * FROM (VALUES
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.schema_diff(measured_catalog(_promised(spark, folder)), measured_catalog(_delivered(spark, folder)))
+    return diff.schema_diff(schema_catalog(_promised(spark, folder)), schema_catalog(_delivered(spark, folder)))
 
 
 @query("schema_diff", CHANGES)

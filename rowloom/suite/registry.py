@@ -76,7 +76,7 @@ def catalog_sql(*names: str) -> str:
     """Column catalog of the given tables as SQL."""
     return " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS column_name, '{kind}' AS data_type, "
-        f"count(*) AS row_count, count(*) - count({c}) AS null_count FROM {t}"
+        f"count(*) AS row_count FROM {t}"
         for t in (names or TABLES)
         for i, (c, kind) in enumerate(TABLES[t].items())
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowloom.operators.lint import schema_lint
 from rowloom.operators.profile import row_counts
 from rowloom.operators.selection import head_sample
-from rowloom.plans.catalog import measured_catalog, union_all
+from rowloom.plans.catalog import counted_catalog, union_all
 from rowloom.plans.scratch import scratch_path
 from rowloom.sources import readers, writers
 from rowloom.suite.registry import TABLES, query, table, tables
@@ -113,7 +113,7 @@ SELECT finding, table_name, subject, fix, coalesce(n, 0) AS affected_rows
 FROM found LEFT JOIN sizes ON t = table_name""",
 )
 def lint(spark: SparkSession, folder: str) -> DataFrame:
-    catalog = measured_catalog(tables(spark, folder, *LINT_TABLES))
+    catalog = counted_catalog(tables(spark, folder, *LINT_TABLES))
     twice = catalog.filter("table_name = 'nation' AND column_name = 'n_name'")
     keys = spark.createDataFrame(LINT_KEYS, "table_name string, column_name string")
     links = spark.createDataFrame(

@@ -27,18 +27,16 @@ def test_ref_integrity(family):
 
 
 def test_orphan_rows_hot_and_cold(spark, family, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_KEYS", 1)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     child = spark.createDataFrame([(i, 99) for i in range(50)] + [(60, 98), (61, 97), (62, 1), (63, None)], "id int, parent_id bigint")
     found = integrity.orphan_rows(child, ["parent_id"], family["parents"], ["id"])
     assert sorted(r.id for r in found.collect()) == [*range(50), 60, 61]
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("small", [1, 1_000])
+@pytest.mark.parametrize("small", [0, 1 << 30])
 def test_lookup_with_hot_and_missing_keys(spark, monkeypatch, how, small):
-    monkeypatch.setattr(joins, "HOT_KEYS", 2)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", small)
     left = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 30 + [2] * 3 + [9] * 5 + [3, None, None])], "i int, k int")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, v string")
     got = sorted((r.i, r.k, r.v) for r in joins.lookup(left, right, ["k"], how).collect())
