@@ -74,7 +74,7 @@ def suite_rows(spark: SparkSession, suites: Mapping[str, Sequence[Expectation]])
     return spark.createDataFrame(rows, SUITE_SCHEMA)
 
 
-def _failing(df: DataFrame, e: Expectation) -> Column | None:
+def failing_rows(df: DataFrame, e: Expectation) -> Column | None:
     """Aggregate that counts what breaks the expectation; none for uniqueness."""
     if e.kind == ROW_COUNT:
         rows = F.count(F.lit(1))
@@ -111,7 +111,7 @@ def run_suite(df: DataFrame, table: str, suite: Sequence[Expectation]) -> DataFr
     simple = [(i, e) for i, e in enumerate(suite) if e.kind != UNIQUE]
     parts = []
     if simple:
-        totals = df.agg(*[_failing(df, e).alias(f"f_{i}") for i, e in simple])
+        totals = df.agg(*[failing_rows(df, e).alias(f"f_{i}") for i, e in simple])
         entries = [
             F.struct(
                 F.lit(i).alias("seq"), F.lit(e.kind).alias("expectation"),

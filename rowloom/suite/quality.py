@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import fixed_values as fixed
-from rowloom.operators import expectations, integrity, keys, privacy, profile, rules
+from rowloom.operators import expectations, integrity, keys, privacy, profile, report, rules
 from rowloom.operators.expectations import Expectation
 from rowloom.plans.catalog import counted_catalog, union_all
 from rowloom.plans.joins import lookup
@@ -277,6 +277,50 @@ def rule_violations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Raw text with damaged cells: what doesn't parse can't break an order or range rule
+
+DIRTY_RULES = [
+    BusinessRule("raw_total_range", "range", "damaged", fields=["o_totalprice"], params={"min": 5000, "max": 450000}),
+    BusinessRule("raw_owner_order", "order", "damaged", expression="o_custkey <= o_orderkey"),
+    BusinessRule("raw_priority_order", "order", "damaged", expression="o_orderpriority <= o_totalprice"),
+]
+DIRTY_BROKEN = {
+    "raw_total_range": "coalesce(TRY_CAST(o_totalprice AS DOUBLE) < 5000 OR TRY_CAST(o_totalprice AS DOUBLE) > 450000, false)",
+    "raw_owner_order": "coalesce(TRY_CAST(o_custkey AS DOUBLE) > o_orderkey, false)",
+    "raw_priority_order": "coalesce(CASE WHEN TRY_CAST(o_orderpriority AS DOUBLE) IS NOT NULL AND TRY_CAST(o_totalprice AS DOUBLE)"
+    " IS NOT NULL THEN TRY_CAST(o_orderpriority AS DOUBLE) > TRY_CAST(o_totalprice AS DOUBLE) ELSE o_orderpriority > o_totalprice END, false)",
+}
+REPORT_SUITES = {
+    "lineitem": [Expectation(expectations.NOT_NULL, "l_orderkey"), Expectation(expectations.BETWEEN, "l_quantity", min_value=2, max_value=49)],
+    "damaged": [Expectation(expectations.NOT_NULL, "o_custkey"),
+                Expectation(expectations.IN_SET, "o_orderstatus", value_set=("paid", "active"))],
+}
+
+
+def _report_sql(name: str, relation: str, columns: list[str], broken: dict[str, str], suite: dict[tuple[str, str], str]) -> str:
+    checks = [("nulls", c, f"{c} IS NULL") for c in columns] + [("rule", n, sql) for n, sql in broken.items()]
+    checks += [(kind, c, sql) for (kind, c), sql in suite.items()]
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{kind}' AS \"check\", '{subject}' AS subject, count(*) FILTER ({sql}) AS failing, "
+        f"count(*) AS total_rows FROM {relation}" for kind, subject, sql in checks
+    )
+
+
+REPORT_SQL = f"WITH raw AS ({RAW}), damaged AS ({INJECTED}) " + _report_sql(
+    "lineitem", "lineitem", list(TABLES["lineitem"]), {r.name: BROKEN[r.name] for r in LINE_RULES},
+    {(expectations.NOT_NULL, "l_orderkey"): "l_orderkey IS NULL", (expectations.BETWEEN, "l_quantity"): "l_quantity < 2 OR l_quantity > 49"},
+) + " UNION ALL " + _report_sql(
+    "damaged", "damaged", list(TABLES["orders"]), DIRTY_BROKEN,
+    {(expectations.NOT_NULL, "o_custkey"): "o_custkey IS NULL", (expectations.IN_SET, "o_orderstatus"): "o_orderstatus NOT IN ('paid', 'active')"},
+)
+
+
+@query("quality_report", REPORT_SQL)
+def quality_report(spark: SparkSession, folder: str) -> DataFrame:
+    read = {"lineitem": table(spark, folder, "lineitem"), "damaged": injected_orders(spark, folder)}
+    return report.quality_report(read, [*LINE_RULES, *DIRTY_RULES], REPORT_SUITES)
+
+
 ORDER_RULES = [
     BusinessRule("total_range", "range", "orders", fields=["o_totalprice"], params={"min": 5000, "max": 450000}),
     BusinessRule("closed_status", "enum", "orders", fields=["o_orderstatus"], params={"values": ["F", "O"]}),

@@ -160,8 +160,8 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "run_lineage",
     f"""{RUNS}, scenarios AS (SELECT user_id AS scenario_id, 'scenario ' || user_id AS name, count(*)::INTEGER AS version
-      FROM events GROUP BY user_id HAVING sum(value) > 100),
-    schemas AS (SELECT 'schema_' || c_custkey AS schema_id FROM customer WHERE c_acctbal > 0)
+      FROM events GROUP BY user_id),
+    schemas AS (SELECT 'schema_' || c_custkey AS schema_id FROM customer)
     SELECT run_id, run_type, runs.scenario_id, s.name AS scenario_name, s.version AS scenario_version,
       coalesce(pack, 'fallback') AS pack, CASE WHEN k > 60 THEN 'schema_' || k END AS custom_schema_id,
       CASE WHEN k > 60 THEN 'custom_schema' ELSE 'pack' END AS schema_source,
@@ -173,13 +173,11 @@ def run_lineage(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     scenarios = (
         events.groupBy(F.col("user_id").alias("scenario_id"))
-        .agg(F.count(F.lit(1)).cast("int").alias("version"), F.sum(F.col("value").cast("decimal(28,6)")).alias("spent"))
-        .filter("spent > 100")
+        .agg(F.count(F.lit(1)).cast("int").alias("version"))
         .withColumn("name", F.concat(F.lit("scenario "), F.col("scenario_id").cast("string")))
     )
     schemas = (
         table(spark, folder, "customer")
-        .filter("c_acctbal > 0")
         .select(F.concat(F.lit("schema_"), F.col("c_custkey").cast("string")).alias("schema_id"))
     )
     return runlog.run_lineage(runs(spark, folder), scenarios, schemas)
