@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.change_tags import invalid_operation
 from rowloom.operators.expectations import UNIQUE, Expectation, failing_rows
 from rowloom.operators.rules import ROW_RULES, violated
 from rowloom.plans.catalog import union_all
@@ -25,8 +26,7 @@ def table_report(
     checks += [("rule", r.name, F.count_if(violated(r, df))) for r in rules if r.table == table and r.kind in ROW_RULES]
     checks += [(e.kind, e.column or "", failing_rows(df, e)) for e in suite if e.kind != UNIQUE]
     if operation is not None:
-        known = F.coalesce(F.upper(F.trim(F.col(operation))).isin("INSERT", "UPDATE", "DELETE"), F.lit(False))
-        checks.append(("operation", operation, F.count_if(~known)))
+        checks.append(("operation", operation, F.count_if(invalid_operation(operation))))
     totals = df.agg(F.count(F.lit(1)).alias("total_rows"), *[value.cast("bigint").alias(f"c_{i}") for i, (_, _, value) in enumerate(checks)])
     entries = [
         F.struct(F.lit(kind).alias("check"), F.lit(subject).alias("subject"), F.col(f"c_{i}").alias("failing"))

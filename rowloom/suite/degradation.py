@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import rng
 from rowloom.functions.rng import salts
-from rowloom.operators import anomalies, change_tags, drift, layers, messiness
+from rowloom.operators import anomalies, change_tags, drift, flow, layers, messiness
 from rowloom.operators.profile import row_counts
 from rowloom.operators.selection import exact_share
 from rowloom.suite import duck
@@ -445,3 +445,20 @@ def layer_deltas(spark: SparkSession, folder: str) -> DataFrame:
     silver = layers.to_layer(bronze, "silver", KEY, "arrival")
     gold = layers.gold_normalize(silver)
     return layers.layer_deltas({"bronze": {"orders": bronze}, "silver": {"orders": silver}, "gold": {"orders": gold}})
+
+
+# Everything in a row: source to bronze, silver, gold and a masked copy
+
+FLOW = flow.FlowSettings(SEED, anomalies=anomalies.effective_ratio(0.02, "chaotic"))
+
+
+@query(
+    "run_pipeline",
+    f"""WITH raw AS ({RAW}), damaged AS ({INJECTED}), n AS (SELECT count(DISTINCT o_orderkey) AS keys FROM damaged)
+    SELECT 'orders' AS table_name, 'source' AS stage, count(*) AS row_count FROM orders
+    UNION ALL SELECT 'orders', 'bronze', count(*) FROM damaged
+    UNION ALL SELECT 'orders', stage, keys FROM n, (VALUES ('silver'), ('gold'), ('shared')) s(stage)""",
+)
+def run_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    orders = {"orders": table(spark, folder, "orders")}
+    return flow.run_flow(orders, {"orders": KEY}, FLOW, {"orders": {"o_orderpriority": "name"}}).row_counts()

@@ -140,3 +140,20 @@ def test_strip_agrees_with_python(spark):
     assert got == [c.strip() for c in cases]
     one = [r.s for r in df.select("i", collapse(F.col("v")).alias("s")).orderBy("i").collect()]
     assert one == [" ".join(c.split()) for c in cases]
+
+
+def test_flow_carries_keys_through_drift(spark):
+    from rowloom.operators.flow import FlowSettings, run_flow
+
+    rows = spark.range(400).selectExpr("id", "concat('name ', id) AS label", "id * 2 AS amount")
+    renamed = 0
+    for seed in range(6):
+        made = run_flow({"t": rows}, {"t": "id"}, FlowSettings(seed, drift="aggressive", messiness="chaotic", anomalies=0.1), {"t": {"label": "name"}})
+        key = made.keys["t"]
+        renamed += key != "id"
+        counts = {r.stage: r.row_count for r in made.row_counts().collect()}
+        assert counts["source"] == counts["silver"] == counts["gold"] == counts["shared"] == 400 and counts["bronze"] >= 400
+        assert made.stages["bronze"]["t"].select(key).distinct().count() == 400
+    assert renamed
+    report = {(r.check, r.subject): r for r in made.report("bronze").collect()}
+    assert report[("nulls", key)].failing == 0 and report[("operation", "op_type")].total_rows == counts["bronze"]
