@@ -159,3 +159,23 @@ def test_no_machine_local_scratch_on_a_cluster():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError):
         scratch.scratch_root(SimpleNamespace(sparkContext=context, conf=Conf()))
+
+
+def test_contracts_in_depth(spark):
+    inner = contracts.Contract("p", required=["id"], types={"id": "integer"}, enums={"kind": ["a", 1, None]})
+    whole = contracts.Contract(
+        "c", required=["at", "who"], types={"at": "string"}, formats={"at": "date", "mail": "email"}, items={"tags": "string", "n": "number"}, nested={"who": inner}
+    )
+    rows = [
+        ('{"at": "2024-02-03", "who": {"id": 1, "kind": "a"}, "tags": ["x"], "n": [1, 2.5]}', None),
+        ('{"at": "2024-02-03", "who": {"id": 1, "kind": null}, "tags": []}', None),
+        ('{"at": "2024-13-03", "who": {"id": "1"}}', "property at is no date; property who.id is not integer"),
+        ('{"at": 5, "who": {}}', "property at is not string; missing required property: who.id"),
+        ('{"at": "2024-02-03", "who": {"id": 1, "kind": "b"}, "tags": [1], "mail": "x"}',
+         "property mail is no email; items of tags are not all string; property who.kind is none of the allowed values"),
+        ('{"who": null}', "missing required property: at"),
+        ("[1]", "Expected object"), ("{", "Invalid JSON"), (None, "Invalid JSON"),
+    ]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, r string")
+    got = [r.reason for r in contracts.check_records(df, "r", whole).orderBy("i").collect()]
+    assert got == [reason for _, reason in rows]
