@@ -221,3 +221,24 @@ def json_contract(spark: SparkSession, folder: str) -> DataFrame:
 )
 def json_contract_totals(spark: SparkSession, folder: str) -> DataFrame:
     return contracts.contract_totals(checked_records(table(spark, folder, "events")), CONTRACT)
+
+
+# Contracts in depth: dates that can't be, items and nested properties of the wrong type, values outside the allowed ones
+
+DEEP = contracts.Contract(
+    "event_record", required=("at", "who"), formats={"at": "date"}, items={"tags": "string"},
+    nested={"who": contracts.Contract("who", required=("id",), types={"id": "integer"}, enums={"kind": ("view", "click", "purchase")})},
+)
+DEEP_RECORD = """concat('{"at":"', IF(event_id % 7 = 0, '2024-13-01', '2024-01-05'), '","tags":', IF(event_id % 3 = 0, '[1]', '["x","y"]'),
+    ',"who":{', CASE event_id % 5 WHEN 0 THEN '"id":"x",' WHEN 1 THEN '' ELSE concat('"id":', event_id, ',') END,
+    '"kind":"', event_type, '"}}')"""
+DEEP_REASON = """nullif(concat_ws('; ', CASE WHEN event_id % 7 = 0 THEN 'property at is no date' END,
+    CASE WHEN event_id % 3 = 0 THEN 'items of tags are not all string' END,
+    CASE event_id % 5 WHEN 1 THEN 'missing required property: who.id' WHEN 0 THEN 'property who.id is not integer' END,
+    CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'property who.kind is none of the allowed values' END), '')"""
+
+
+@query("json_contract_deep", f"SELECT event_id, {DEEP_REASON} IS NULL AS passed, {DEEP_REASON} AS reason FROM events")
+def json_contract_deep(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "events").select(KEY, F.expr(DEEP_RECORD).alias("record"))
+    return contracts.check_records(records, "record", DEEP).select(KEY, "passed", "reason")
