@@ -20,7 +20,7 @@ HEADLINE = (
     "gen_typed_row", "gen_dataset", "assign_fk", "gen_events",
     "tag_cdc", "apply_messiness", "inject_anomalies", "to_layer", "gold_normalize",
     "table_profile", "duplicate_pk_rows", "ref_integrity", "rule_violations", "violation_samples",
-    "run_suites", "pii_classify", "table_fingerprint", "schema_diff", "keyed_diff", "config_diff",
+    "run_suites", "quality_report", "pii_classify", "table_fingerprint", "schema_diff", "keyed_diff", "config_diff",
     "run_metrics", "run_timeline", "retention_candidates", "link_report", "json_contract",
     "sink_sql_insert", "stream_event_windows",
 )
@@ -49,7 +49,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false")
     builder = builder.config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
-    builder = builder.config("spark.sql.dataFrameQueryContext.enabled", "false")
     for name, value in RECOMMENDED.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()

@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.keys import repeated_keys
@@ -24,6 +24,10 @@ SUITE_SCHEMA = "suite string, seq int, expectation string, column_name string, k
 NUMBER_TEXT = r"^[0-9.\-]*[0-9][0-9.\-]*$"
 
 
+#: Examples per check.
+SAMPLES = 5
+
+
 @dataclass(frozen=True)
 class Expectation:
     kind: str
@@ -74,6 +78,29 @@ def suite_rows(spark: SparkSession, suites: Mapping[str, Sequence[Expectation]])
     return spark.createDataFrame(rows, SUITE_SCHEMA)
 
 
+def breaks(df: DataFrame, e: Expectation) -> Column | None:
+    """Where a row breaks the expectation; none for row counts and uniqueness."""
+    if e.kind not in (NOT_NULL, IN_SET, BETWEEN):
+        return None
+    if e.column not in df.columns:
+        return F.lit(e.kind == NOT_NULL)
+    value = F.col(e.column)
+    if e.kind == NOT_NULL:
+        return value.isNull()
+    if e.kind == IN_SET:
+        broken = ~value.isin(list(e.value_set)) if e.value_set else value.isNotNull()
+        return F.coalesce(broken, F.lit(False))
+    number = value
+    if dict(df.dtypes)[e.column] == "string":
+        number = F.when(value.rlike(NUMBER_TEXT), value.try_cast("double"))
+    outside = F.lit(False)
+    if e.min_value is not None:
+        outside = outside | (number < F.lit(e.min_value))
+    if e.max_value is not None:
+        outside = outside | (number > F.lit(e.max_value))
+    return F.coalesce(outside, F.lit(False))
+
+
 def failing_rows(df: DataFrame, e: Expectation) -> Column | None:
     """Aggregate that counts what breaks the expectation; none for uniqueness."""
     if e.kind == ROW_COUNT:
@@ -83,24 +110,40 @@ def failing_rows(df: DataFrame, e: Expectation) -> Column | None:
         if e.max_value is not None:
             outside = outside | (rows > F.lit(int(e.max_value)))
         return outside.cast("bigint")
-    if e.column not in df.columns:
-        return F.count(F.lit(1)) if e.kind == NOT_NULL else F.lit(0).cast("bigint")
-    value = F.col(e.column)
-    if e.kind == NOT_NULL:
-        return F.count_if(value.isNull())
-    if e.kind == IN_SET:
-        return F.count_if(~value.isin(list(e.value_set))) if e.value_set else F.count(value)
-    if e.kind == BETWEEN:
-        number = value
-        if dict(df.dtypes)[e.column] == "string":
-            number = F.when(value.rlike(NUMBER_TEXT), value.try_cast("double"))
-        outside = F.lit(False)
-        if e.min_value is not None:
-            outside = outside | (number < F.lit(e.min_value))
-        if e.max_value is not None:
-            outside = outside | (number > F.lit(e.max_value))
-        return F.count_if(outside)
-    return None
+    broken = breaks(df, e)
+    return None if broken is None else F.count_if(broken)
+
+
+def failing_samples(df: DataFrame, table: str, suite: Sequence[Expectation], order: str, per_check: int = SAMPLES) -> DataFrame:
+    """The first rows that break each row expectation, and repeated values of unique columns: a report's examples.
+
+    ``suite, seq, expectation, column_name, sample_no, row_key, value``; ``row_key`` is the row's ``order`` column as
+    text, null for a repeated value. Rank limits are applied inside every task before the shuffle.
+    """
+    own = [(i, e) for i, e in enumerate(suite) if breaks(df, e) is not None]
+    no_text = F.lit(None).cast("string")
+    parts = []
+    if own:
+        found = F.array(*[
+            F.when(breaks(df, e), F.struct(
+                F.lit(i).alias("seq"), F.lit(e.kind).alias("expectation"), F.lit(e.column).alias("column_name"),
+                (F.col(e.column).cast("string") if e.column in df.columns else no_text).alias("value"),
+            ))
+            for i, e in own
+        ])
+        hit = df.select(F.col(order).alias("_order"), F.explode(found).alias("e")).filter("e IS NOT NULL").select("_order", "e.*")
+        rank = F.row_number().over(Window.partitionBy("seq").orderBy("_order"))
+        parts.append(hit.withColumn("sample_no", rank).filter(F.col("sample_no") <= per_check).withColumn("row_key", F.col("_order").cast("string")))
+    for i, e in enumerate(suite):
+        if e.kind == UNIQUE and e.column in df.columns:
+            again = repeated_keys(df, [e.column]).orderBy(e.column).limit(per_check)
+            parts.append(again.select(
+                F.lit(i).alias("seq"), F.lit(e.kind).alias("expectation"), F.lit(e.column).alias("column_name"),
+                F.col(e.column).cast("string").alias("value"), F.row_number().over(Window.orderBy(e.column)).alias("sample_no"),
+                no_text.alias("row_key"),
+            ))
+    names = ["seq", "expectation", "column_name", "sample_no", "row_key", "value"]
+    return union_all([p.select(F.lit(f"{table}_suite").alias("suite"), *names) for p in parts])
 
 
 def run_suite(df: DataFrame, table: str, suite: Sequence[Expectation]) -> DataFrame:

@@ -8,6 +8,8 @@ RECOMMENDED: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites in error messages cost a stack walk per column expression while plans are built.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.filterPushdown": "true",
     # The JVM does not compile methods above 8,000 bytes; wide generated projections are

@@ -277,6 +277,27 @@ def rule_violations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SAMPLED = [
+    Expectation(expectations.NOT_NULL, "o_custkey"), Expectation(expectations.IN_SET, "o_orderstatus", value_set=("active", "paid")),
+    Expectation(expectations.UNIQUE, "o_orderkey"),
+]
+
+
+@query(
+    "exp_samples",
+    f"""WITH raw AS ({RAW}), damaged AS ({INJECTED}), s AS (
+      SELECT 0 AS seq, '{expectations.NOT_NULL}' AS expectation, 'o_custkey' AS column_name, o_orderkey AS k, o_custkey AS value
+        FROM damaged WHERE o_custkey IS NULL
+      UNION ALL SELECT 1, '{expectations.IN_SET}', 'o_orderstatus', o_orderkey, o_orderstatus FROM damaged WHERE o_orderstatus NOT IN ('active', 'paid')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY k, value) AS sample_no FROM s),
+    u AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM damaged GROUP BY 1 HAVING count(*) > 1)
+    SELECT 'damaged_suite' AS suite, seq, expectation, column_name, sample_no, k::VARCHAR AS row_key, value FROM r WHERE sample_no <= 5
+    UNION ALL SELECT 'damaged_suite', 2, '{expectations.UNIQUE}', 'o_orderkey', n, NULL, o_orderkey::VARCHAR FROM u WHERE n <= 5""",
+)
+def exp_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return expectations.failing_samples(injected_orders(spark, folder), "damaged", SAMPLED, "o_orderkey")
+
+
 # Raw text with damaged cells: what doesn't parse can't break an order or range rule
 
 DIRTY_RULES = [

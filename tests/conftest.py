@@ -17,7 +17,6 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     )
     for name, value in RECOMMENDED.items():
