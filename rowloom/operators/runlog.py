@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import fixed_values as fixed
 from rowloom.functions.shapes import half_up
-from rowloom.plans.catalog import union_all
 from rowloom.plans.joins import lookup
 
 #: Newest runs that are kept, up to which their ids are broadcast.
