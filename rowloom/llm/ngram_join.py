@@ -28,8 +28,8 @@ from rowloom.llm.common import WordHashes, fresh, mix, shingle_hashes, stored
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 PERCENT = 80
-CHUNK_CHARS = 20_000_000
-RANGE_CHARS = 10_000_000
+CHUNK_CHARS = 8_000_000
+RANGE_CHARS = 8_000_000
 #: Rounds in which the members of a group that is still apart meet one member only, before all of them meet.
 STAR_ROUNDS = 3
 ORDER_A, ORDER_B, ORDER_C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -110,13 +110,17 @@ def count_range(announced: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-SELECTED = "doc_id bigint, n bigint, set1 bigint, set2 bigint, tokens binary, prefix_a array<bigint>, prefix_b binary"
+SELECTED = (
+    "doc_id bigint, n bigint, set1 bigint, set2 bigint, tokens binary, alone bigint, weight double, "
+    "prefix_a array<bigint>, prefix_b binary"
+)
 
 
 def select(bits: int, chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
     """A row per document; those with enough shared tokens to be similar to another get set hashes and prefixes.
 
-    Of documents with equal sets in the chunk only the one with the least id carries them.
+    ``alone`` tokens stand before the prefix in every order, as no other document has them; ``weight`` is the mean
+    document frequency of all tokens: of near copies of one text, that text has the most. Of documents with equal sets in the chunk only the one with the least id carries them.
     """
     back = back.sort_values("range", kind="stable")
     keys = np.concatenate([
@@ -129,7 +133,7 @@ def select(bits: int, chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         known = not pd.isna(doc_id)
         mine = shingle_set(text if isinstance(text, str) else None)
         n = len(mine)
-        row = [int(doc_id) if known else None, n, None, None, None, None, None]
+        row = [int(doc_id) if known else None, n] + [None] * 7
         rows.append(row)
         if not known or not n or not len(keys):
             continue
@@ -146,9 +150,9 @@ def select(bits: int, chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         tokens, often = mine[shared], counts[at[shared]]
         length = n - needed(n) + 1 - alone
         a, b = (tokens[np.lexsort((mix(tokens ^ order), often))[:length]] for order in (ORDER_A, ORDER_B))
-        row[4:] = mine.tobytes(), a.view(np.int64), b.tobytes()
-    made = pd.DataFrame(rows, columns=["doc_id", "n", "set1", "set2", "tokens", "prefix_a", "prefix_b"], dtype=object)
-    return made.astype({c: "Int64" for c in ("doc_id", "n", "set1", "set2")})
+        row[4:] = mine.tobytes(), alone, (alone + int(often.sum(dtype=np.int64))) / n, a.view(np.int64), b.tobytes()
+    made = pd.DataFrame(rows, columns=["doc_id", "n", "set1", "set2", "tokens", "alone", "weight", "prefix_a", "prefix_b"], dtype=object)
+    return made.astype({c: "Int64" for c in ("doc_id", "n", "set1", "set2", "alone")} | {"weight": "Float64"})
 
 
 def _signed(x: np.uint64) -> int:
@@ -219,49 +223,64 @@ def join_similar(docs: DataFrame) -> DataFrame:
     found = selected.filter("set1 IS NOT NULL")
     classes = stored(found.groupBy("set1", "set2").agg(F.min("doc_id").alias("node")), "classes")
     carriers = found.filter("tokens IS NOT NULL").join(classes, ["set1", "set2"]).filter("doc_id = node")
-    grams = stored(carriers.select("node", "n", F.explode("prefix_a").alias("token")), "prefixes")
-    sets = found.filter("tokens IS NOT NULL").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = sets.select("doc_id", "tokens", "prefix_b")
+    # What is left of the set from each prefix token on bounds the overlap of pairs that have it first in common.
+    grams = carriers.select("node", "n", "alone", "weight", F.posexplode("prefix_a").alias("at", "token"))
+    grams = stored(grams.select("node", "n", "weight", "token", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+    sets = found.filter("tokens IS NOT NULL").select("doc_id", "tokens", "prefix_b")
 
     def check(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("x_tokens"), F.col("prefix_b").alias("x_prefix")), "x")
-        with_y = with_x.join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("y_tokens"), F.col("prefix_b").alias("y_prefix")), "y")
-        return stored(with_y.mapInPandas(verify, "x bigint, y bigint"), "similar")
+        # Only the sets of these pairs travel.
+        ends = stored(pairs.select("x").union(pairs.select("y")).distinct(), "ends")
+        asked = sets.join(ends, F.col("doc_id") == F.col("x"), "left_semi")
+        for end in ("x", "y"):
+            side = asked.select(F.col("doc_id").alias(end), F.col("tokens").alias(f"{end}_tokens"), F.col("prefix_b").alias(f"{end}_prefix"))
+            pairs = pairs.join(side, end)
+        return stored(pairs.mapInPandas(verify, "x bigint, y bigint"), "similar")
 
     comp = classes.select("node", F.col("node").alias("comp")).distinct()
     # An id with several texts ties their nodes together.
     member = found.select("doc_id", "set1", "set2").join(classes, ["set1", "set2"]).select("doc_id", "node").distinct()
     several = member.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("_most")).filter("x != _most")
     ties = stored(member.join(several, "doc_id").filter("node != x").select("x", F.col("node").alias("y")), "ties")
+    placed = grams.withColumn("comp", F.col("node"))
     if ties.limit(1).count():
         comp = components(comp, ties)
+        placed = grams.join(comp, "node")
     tested = spark.createDataFrame([], "x bigint, y bigint")
+    hubs = spark.createDataFrame([], "node bigint")
     for turn in range(STAR_ROUNDS + 1):
-        placed = grams.join(comp, "node")
-        apart = placed.groupBy("token").agg(
-            F.min("comp").alias("least"), F.max("comp").alias("most"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp", "n")).alias("hub")
-        ).filter("least != most")
+        other = [F.col(c).alias(f"h_{c}") for c in ("node", "n", "left", "comp")]
         if turn < STAR_ROUNDS:
-            met = placed.join(apart.select("token", F.col("hub.node").alias("h"), F.col("hub.comp").alias("h_comp"), F.col("hub.n").alias("h_n")), "token")
+            # The member nearest to the middle of its group that hasn't been the group's hub.
+            free = placed if not turn else placed.join(hubs, "node", "left_anti")
+            hub = free.groupBy("token").agg(F.max(F.struct("weight", "node", "n", "left", "comp")).alias("hub")).select("token", "hub.*")
+            met = placed.join(hub.select("token", *other), "token")
+            if turn + 1 < STAR_ROUNDS:
+                hubs = hubs.union(stored(hub.select("node").distinct(), "hubs"))
         else:
-            rest = placed.join(apart.select("token"), "token", "left_semi")
-            met = rest.join(rest.select("token", F.col("node").alias("h"), F.col("comp").alias("h_comp"), F.col("n").alias("h_n")), "token").filter("node < h")
-        met = met.filter(f"comp != h_comp AND 100 * least(n, h_n) >= {PERCENT} * greatest(n, h_n)")
-        pairs = met.select(F.least("node", "h").alias("x"), F.greatest("node", "h").alias("y")).distinct()
+            met = placed.join(placed.select("token", *other), "token").filter("node < h_node")
+        pairs = met.filter(
+            f"comp != h_comp AND 100 * least(n, h_n) >= {PERCENT} * greatest(n, h_n)"
+            f" AND {100 + PERCENT} * least(left, h_left) >= {PERCENT} * (n + h_n)"
+        ).select(F.least("node", "h_node").alias("x"), F.greatest("node", "h_node").alias("y")).distinct()
         pairs = stored(pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        comp = components(comp, check(pairs))
-        tested = tested.unionByName(pairs)
+        if pairs.limit(1).count():
+            comp = components(comp, check(pairs))
+            tested = tested.unionByName(pairs)
+        if turn < STAR_ROUNDS:
+            # Only groups that are still apart go on.
+            again = placed.drop("comp").join(comp, "node")
+            apart = again.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least != most")
+            placed = stored(again.join(apart, "token", "left_semi"), "apart")
     of_set = classes.join(comp, "node").select("set1", "set2", "comp")
     linked = selected.select("doc_id", "n", "set1", "set2").join(of_set, ["set1", "set2"], "left")
+    shown = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    again = selected.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1")
+    if not again.limit(1).count():
+        return shown
     # Rows that share an id are one document, whichever of its texts is linked.
-    several = linked.filter("comp IS NOT NULL AND comp != doc_id").groupBy("doc_id").agg(F.min("comp").alias("_least"))
-    return linked.join(several, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("comp", "doc_id"), F.coalesce("_least", "doc_id")).alias("component_id")
-    )
+    least = shown.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+    return shown.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
