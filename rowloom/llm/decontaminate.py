@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 An item's fingerprint has 128 bits from its five-word shingles. In a document a window of the item's
-size gets the same kind of fingerprint from prefix sums. Fingerprints are cut into blocks; two within the
-radius agree in some block up to radius / blocks bits, so looking at blocks loses none. Candidates are
+size gets the same kind of fingerprint from prefix sums. Fingerprints are cut into blocks, and each size has
+a table per block from values to items. The radii of the blocks and one more for each add up to more than
+the radius, so two fingerprints within it are within a block's radius in some block and looking up blocks
+loses none. What the tables give is scored by the whole fingerprint, in slices of bounded size, and
 verified by the weighted Jaccard similarity of the two bags of shingles. A window that shares no
 shingle with any item can't be verified, whatever its fingerprint, so only windows around shared
 shingles get one; this changes no result.
@@ -27,6 +29,10 @@ SIMILARITY = 0.8
 BITS, BLOCKS = 128, 8
 #: At similarity 0.8 fingerprints differ in 19.4 bits with a standard deviation of 4.1; this is four of them more.
 RADIUS = 36
+#: Radius in each block. Fingerprints farther apart than this in every block differ in more than ``RADIUS`` bits.
+RADII = np.array([RADIUS // BLOCKS - (b > RADIUS % BLOCKS) for b in range(BLOCKS)])
+#: Pairs of a window and an item, and shingles' votes, that are held at once.
+SLICE_PAIRS, SLICE_VOTES = 1 << 20, 1 << 13
 #: Words of the items that one pass holds; a larger benchmark takes several passes.
 PASS_WORDS = 4_000_000
 CHUNK_CHARS = 1 << 22
@@ -35,6 +41,8 @@ MATCHES = "array<struct<item_id: bigint, similarity: double, first_word: bigint,
 _word = re.compile(r"\w+")
 _hashes = WordHashes()
 POP16 = np.array([x.bit_count() for x in range(1 << 16)], np.uint8)
+#: Per radius the differences that a block value may have.
+BALLS = {int(r): np.flatnonzero(POP16 <= r).astype(np.uint16) for r in np.unique(RADII)}
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -53,6 +61,77 @@ def blocks_of(votes: np.ndarray) -> np.ndarray:
     return np.packbits(votes > 0, axis=1).view(np.uint16)
 
 
+def votes_of(hashes: np.ndarray) -> np.ndarray:
+    """Summed votes of all shingles, as one row."""
+    return sum(lanes(hashes[i : i + SLICE_VOTES]).sum(axis=0, keepdims=True) for i in range(0, len(hashes), SLICE_VOTES))
+
+
+def votes_until(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Summed votes of the shingles before each of the places, which are in order."""
+    made, total = np.empty((len(places), BITS), np.int32), np.zeros((1, BITS), np.int32)
+    for i in range(0, len(hashes) + 1, SLICE_VOTES):
+        sums = np.cumsum(np.vstack([total, lanes(hashes[i : i + SLICE_VOTES])]), axis=0, dtype=np.int32)
+        a, b = np.searchsorted(places, [i, i + SLICE_VOTES])
+        made[a:b], total = sums[places[a:b] - i], sums[-1:]
+    return made
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+class BlockTable:
+    """From the values of one block to the items that have them there."""
+
+    def __init__(self, values: np.ndarray, radius: int) -> None:
+        self.items = np.argsort(values, kind="stable")
+        self.values, first = np.unique(values[self.items], return_index=True)
+        self.first, self.radius = np.append(first, len(values)), radius
+        self.place = None
+        if len(self.values) > len(BALLS[radius]):
+            self.place = np.full(1 << 16, -1, np.int32)
+            self.place[self.values] = np.arange(len(self.values))
+
+    def near(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``asked`` and items within the radius. What there are fewer of is gone through: values around, or values held."""
+        if self.place is None:
+            row, value = np.nonzero(POP16[asked[:, None] ^ self.values] <= self.radius)
+        else:
+            held = self.place[asked[:, None] ^ BALLS[self.radius]]
+            row, at = np.nonzero(held >= 0)
+            value = held[row, at]
+        lengths = self.first[value + 1] - self.first[value]
+        return np.repeat(row, lengths), self.items[spread(self.first[value], lengths)]
+
+
+class SizeIndex:
+    """Multi-index over the fingerprints of the items of one size."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray) -> None:
+        self.items, self.prints = items, np.ascontiguousarray(prints)
+        self.tables = [BlockTable(self.prints[:, b], int(RADII[b])) for b in range(BLOCKS)]
+
+    def near(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slices of all pairs of a window and an item within ``RADIUS``, by window and item in order."""
+        whole, step = self.prints.view(np.uint64), max(1, SLICE_PAIRS // len(self.items))
+        for begin in range(0, len(windows), step):
+            some = np.ascontiguousarray(windows[begin : begin + step])
+            asked, rows, items = some.view(np.uint64), [], []
+            for b, table in enumerate(self.tables):
+                row, item = table.near(some[:, b])
+                apart = sum(np.bitwise_count(asked[row, k] ^ whole[item, k]) for k in range(asked.shape[1]))
+                row, item = row[apart <= RADIUS], item[apart <= RADIUS]
+                # A pair that an earlier table gives is there already.
+                new = (POP16[some[row, :b] ^ self.prints[item, :b]] > RADII[:b]).all(axis=1)
+                rows.append(row[new])
+                items.append(item[new])
+            row, item = np.concatenate(rows), np.concatenate(items)
+            order = np.lexsort((item, row))
+            yield row[order] + begin, self.items[item[order]]
+
+
 def similarity(left: np.ndarray, right: np.ndarray) -> float:
     """Weighted Jaccard of two bags: a shingle's weight is the number of times it occurs."""
     a, n = np.unique(left, return_counts=True)
@@ -77,20 +156,24 @@ class Benchmark:
 
     @cached_property
     def prints(self) -> np.ndarray:
-        return np.vstack([blocks_of(lanes(b).sum(axis=0, keepdims=True)) for b in self.bags])
+        return np.vstack([blocks_of(votes_of(b)) for b in self.bags])
 
     @cached_property
-    def of_size(self) -> dict[int, np.ndarray]:
-        return {int(s): np.flatnonzero(self.sizes == s) for s in np.unique(self.sizes)}
+    def of_size(self) -> dict[int, SizeIndex]:
+        order = np.argsort(self.sizes, kind="stable")
+        sizes, first = np.unique(self.sizes[order], return_index=True)
+        return {int(s): SizeIndex(i, self.prints[i]) for s, i in zip(sizes, np.split(order, first[1:]), strict=True)}
 
     @cached_property
     def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct shingles in order, where each one's items begin, and the items."""
+        """Distinct shingles in order, where the sizes of the items that have each one begin, and these sizes."""
         every = np.concatenate(self.bags)
-        item = np.repeat(np.arange(len(self.bags)), [len(b) for b in self.bags])
-        order = np.argsort(every, kind="stable")
-        distinct, first = np.unique(every[order], return_index=True)
-        return distinct, np.append(first, len(every)), item[order]
+        size = np.repeat(self.sizes, [len(b) for b in self.bags])
+        order = np.lexsort((size, every))
+        every, size = every[order], size[order]
+        new = np.append(True, (every[1:] != every[:-1]) | (size[1:] != size[:-1]))
+        distinct, first = np.unique(every[new], return_index=True)
+        return distinct, np.append(first, new.sum()), size[new]
 
     @cached_property
     def mask(self) -> np.ndarray:
@@ -120,12 +203,17 @@ class Benchmark:
         at, number = self.hits(found)
         if not len(at):
             return
-        _, first, item = self.shared
-        spans = np.diff(first)[number]
-        items = np.concatenate([item[first[n] : first[n + 1]] for n in number])
-        places, sizes = np.repeat(at, spans), self.sizes[items]
-        for size in np.unique(sizes):
-            here = np.unique(places[sizes == size])
+        _, first, sizes = self.shared
+        # Sizes are looked up once for each distinct shingle, however often it occurs here or in the items.
+        number, which = np.unique(number, return_inverse=True)
+        lengths = first[number + 1] - first[number]
+        owner, sizes = np.repeat(np.arange(len(number)), lengths), sizes[spread(first[number], lengths)]
+        order = np.argsort(sizes, kind="stable")
+        begins = np.flatnonzero(np.append(True, np.diff(sizes[order]) > 0))
+        for mine in np.split(order, begins[1:]):
+            size, held = sizes[mine[0]], np.zeros(len(number), bool)
+            held[owner[mine]] = True
+            here = at[held[which]]
             # Starts of all windows of this size that hold a shared shingle; at the ends a window is cut off.
             edge = np.zeros(len(words) + int(size) + 1, np.int32)
             reach = int(size) - SHINGLE
@@ -135,25 +223,22 @@ class Benchmark:
             self._search_size(int(size), starts, found, len(words), best, offset)
 
     def _search_size(self, size: int, starts: np.ndarray, found: np.ndarray, n: int, best: dict, offset: int) -> None:
-        mine = self.of_size[size]
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
             for some in np.array_split(part, max(1, len(part) // 4096)):
                 low = np.maximum(some, 0)
                 high = np.minimum(some + size, n) - SHINGLE + 1
-                some, low, high = some[high > low], low[high > low], high[high > low]
-                if not len(some):
+                low, high = low[high > low], high[high > low]
+                if not len(low):
                     continue
                 base = int(low[0])
-                votes = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(lanes(found[base : int(high.max())]), axis=0, dtype=np.int32)])
-                window = blocks_of(votes[high - base] - votes[low - base])
-                apart = POP16[window[:, None, :] ^ self.prints[mine][None, :, :]]
-                near = (apart <= RADIUS // BLOCKS).any(axis=2)
-                near &= apart.sum(axis=2, dtype=np.int32) <= RADIUS
-                for w, k in zip(*np.nonzero(near), strict=True):
-                    i = int(mine[k])
-                    alike = similarity(found[low[w] : high[w]], self.bags[i])
-                    if alike >= SIMILARITY and (i not in best or alike > best[i][0]):
-                        best[i] = (alike, offset + int(low[w]), int(high[w] - low[w]) + SHINGLE - 1)
+                ends, where = np.unique(np.concatenate([low, high]) - base, return_inverse=True)
+                votes = votes_until(found[base : int(high.max())], ends)
+                windows = blocks_of(votes[where[len(low) :]] - votes[where[: len(low)]])
+                for rows, items in self.of_size[size].near(windows):
+                    for w, i in zip(rows.tolist(), items.tolist(), strict=True):
+                        alike = similarity(found[low[w] : high[w]], self.bags[i])
+                        if alike >= SIMILARITY and (i not in best or alike > best[i][0]):
+                            best[i] = (alike, offset + int(low[w]), int(high[w] - low[w]) + SHINGLE - 1)
 
 
 def matches(benchmark: Benchmark, texts: Sequence[str | None]) -> list[list[dict]]:

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import collected, documents
 
@@ -100,3 +102,52 @@ def test_defined_cases(spark):
     empty = items.limit(0)
     assert D.contaminated(docs, empty).count() == 0 and D.drop_contaminated(docs, empty).count() == 6
     assert D.contaminated(documents(spark, []), items).count() == 0
+
+
+def loaded(items):
+    found = [(i, D.word_hashes(t)) for i, t in items]
+    return D.Benchmark([i for i, _ in found], np.array([len(w) for _, w in found]), [D.shingle_hashes(w, 5) for _, w in found])
+
+
+@pytest.mark.parametrize("n", [40, 6000])
+def test_block_tables_find_all_within_the_radius(n, monkeypatch):
+    """Few items go through the values held, many through the values around."""
+    monkeypatch.setattr(D, "SLICE_PAIRS", 50_000)
+    draw = np.random.default_rng(n)
+    bits = draw.integers(0, 2, (n, D.BITS), np.uint8)
+    bits[: n // 4] = bits[0]
+    asked = bits[draw.integers(0, n, 300)]
+    for row in asked:
+        row[draw.choice(D.BITS, draw.integers(0, 60), replace=False)] ^= 1
+    index = D.SizeIndex(np.arange(n) * 3, np.packbits(bits, axis=1).view(np.uint16))
+    assert (index.tables[0].place is None) == (n == 40)
+    apart = (asked[:, None, :] != bits[None]).sum(axis=2)
+    expect = [(w, 3 * i) for w, i in zip(*np.nonzero(apart <= D.RADIUS), strict=True)]
+    assert [(w, i) for rows, items in index.near(np.packbits(asked, axis=1).view(np.uint16)) for w, i in zip(rows, items, strict=True)] == expect
+    assert len(set(apart[apart <= D.RADIUS])) > 20
+
+
+def test_one_size_and_one_shingle_in_most_items():
+    """Memory doesn't grow with windows times items of a size, nor with places times items of a shingle."""
+    draw, words = random.Random(11), [f"w{k}" for k in range(5000)]
+    start = "what is the right answer"
+    items = [(k, " ".join([start, *(draw.choice(words) for _ in range(35))])) for k in range(12_000)]
+    text = " ".join(f"{start} {draw.choice(words)}" for _ in range(600)) + " " + items[77][1]
+    benchmark = loaded(items)
+    D.matches(benchmark, [items[5][1]])
+    tracemalloc.start()
+    try:
+        got = D.matches(benchmark, [text])
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    finally:
+        tracemalloc.stop()
+    assert [(m["item_id"], m["similarity"], m["first_word"], m["n_words"]) for m in got[0]] == [(77, 1.0, 3600, 40)]
+
+
+def test_long_item_in_slices_of_votes(monkeypatch):
+    draw = random.Random(2)
+    item = " ".join(f"w{draw.randrange(900)}" for _ in range(700))
+    text = "x y z " * 40 + item + " v w" * 60
+    whole = D.matches(loaded([(1, item)]), [text])
+    monkeypatch.setattr(D, "SLICE_VOTES", 64)
+    assert D.matches(loaded([(1, item)]), [text]) == whole and whole[0][0]["first_word"] == 120
