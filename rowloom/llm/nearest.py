@@ -42,7 +42,7 @@ def usable(column: str) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Per dimension: centres, rotation and the number of lists a query searches."""
+    """Per dimension: centres, rotation and the least number of lists a query searches."""
 
     centres: dict[int, np.ndarray]
     rotation: dict[int, np.ndarray]
@@ -52,10 +52,17 @@ class Index:
         centres = self.centres[vectors.shape[1]]
         return (0.5 * (centres * centres).sum(axis=1) - vectors @ centres.T).argmin(axis=1)
 
-    def searched(self, queries: np.ndarray) -> np.ndarray:
-        """Lists of each query, most promising first: by inner product with their centres."""
+    def searched(self, queries: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the queries and the lists of each, most promising first: by inner product with their centres.
+
+        Lists are added to the least number until those taken hold ``k`` rows besides the query's own; ``held`` are
+        the rows of each list.
+        """
         size = queries.shape[1]
-        return np.argsort(-(queries @ self.centres[size].T), axis=1, kind="stable")[:, : self.probes[size]]
+        order = np.argsort(-(queries @ self.centres[size].T), axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        taken = (np.arange(order.shape[1]) < self.probes[size]) | (before < k + 1)
+        return np.nonzero(taken)[0], order[taken]
 
     def encode(self, vectors: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed sign bits of the rotated residuals, the residuals' lengths and the correction scalars."""
@@ -133,7 +140,8 @@ def search(
     The score is the inner product of the original vectors in double precision; ties go to the smaller
     id. Null ids and vectors that are null, empty, zero or not finite take no part. Rows that repeat an id count
     once, with the smallest vector where they differ. Vectors are compared within their dimension.
-    Fewer candidates than ``k``: all that the searched lists hold, and all lists are searched.
+    A query whose lists hold fewer than ``k`` others searches further ones until they do, so fewer than ``k`` rows come
+    back only where there are no more. How many rows each list holds is counted while the plan is built.
     """
     spark = vectors.sparkSession
     clean = (
@@ -160,19 +168,33 @@ def search(
         deal, "vec_id bigint, size int, list int, code binary, length double, correction double, vector binary"
     )
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, matrix in _matrices(batch):
+                yield pd.DataFrame({"size": np.int32(matrix.shape[1]), "list": shared.value.assign(matrix).astype(np.int32)})
+
+    # Lists are as many as the index has, so this table is small whatever the rows.
+    counted = clean.select("embedding").mapInPandas(place, "size int, list int").groupBy("size", "list").agg(F.count(F.lit(1)).alias("rows")).toPandas()
+    held = {size: np.zeros(len(centres), np.int64) for size, centres in index.centres.items()}
+    for size, which, rows in counted.itertuples(index=False):
+        held[size][which] = rows
+    counts = spark.sparkContext.broadcast(held)
+
     def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, matrix in _matrices(batch):
-                lists = shared.value.searched(matrix)
-                wide = lists.shape[1]
-                yield pd.DataFrame({
-                    "vec_id": np.repeat(part["vec_id"].to_numpy(), wide), "size": np.int32(matrix.shape[1]),
-                    "list": lists.ravel().astype(np.int32), "vector": [b for b in map(np.ndarray.tobytes, matrix) for _ in range(wide)],
-                })
+                ids, size = part["vec_id"].to_numpy(), matrix.shape[1]
+                for at in range(0, len(ids), BLOCK_QUERIES):
+                    some = matrix[at : at + BLOCK_QUERIES]
+                    rows, lists = shared.value.searched(some, counts.value[size], k)
+                    packed = [v.tobytes() for v in some]
+                    yield pd.DataFrame({
+                        "vec_id": ids[at + rows], "size": np.int32(size), "list": lists.astype(np.int32), "vector": [packed[r] for r in rows],
+                    })
 
     aimed = clean.filter(is_query).mapInPandas(aim, "vec_id bigint, size int, list int, vector binary")
-    # How many blocks each list needs. Lists are as many as the index has, so this table is small whatever the rows.
-    held = coded.groupBy("size", "list").agg(F.count(F.lit(1)).alias("rows"))
+    # How many blocks each list needs.
+    held = spark.createDataFrame(counted.astype("int64").values.tolist(), "size int, list int, rows long")
     asked = aimed.groupBy("size", "list").agg(F.count(F.lit(1)).alias("asked"))
     blocks = held.join(asked, ["size", "list"]).select(
         "size", "list", F.ceil(F.col("rows") / BLOCK_VECTORS).alias("v_blocks"), F.ceil(F.col("asked") / BLOCK_QUERIES).alias("q_blocks")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from helpers import collected, documents
 from pyspark.sql import functions as F
 
@@ -115,3 +116,25 @@ def test_one_vector_in_most_rows(spark, monkeypatch):
     got = [(q, r, i, round(s, 9)) for q, r, i, s in collected(N.search(vectors(spark, rows), F.col("vec_id") % 20 == 0))]
     hot = [g for g in got if g[0] % 3 == 0]
     assert hot == [e for e in hot if e in set(brute(rows, {g[0] for g in hot}, 20))]
+
+
+@pytest.mark.parametrize("probes", [1, 2])
+def test_small_lists_are_widened_to_k_rows(spark, probes):
+    """An outlier list of three vectors, an empty one and two full ones."""
+    draw = np.random.default_rng(8)
+    centres = np.array([[50.0, 0, 0, 0], [40.0, 40, 40, 40], [1.0, 0, 0, 0], [-1.0, 0, 0, 0]])
+    rows = [(i, (centres[0] + draw.normal(size=4) / 9).tolist()) for i in range(3)]
+    rows += [(i, (centres[2 + i % 2] + draw.normal(size=4) / 9).tolist()) for i in range(3, 83)]
+    index = N.Index({4: centres}, {4: N.rotation(4)}, {4: probes})
+    got = [(q, r, i, round(s, 9)) for q, r, i, s in collected(N.search(vectors(spark, rows), F.col("vec_id") < 3, index=index))]
+    assert sorted(got) == brute(rows, {0, 1, 2}, 20)
+    # Fewer candidates than asked for: all of them.
+    few = collected(N.search(vectors(spark, rows[:9]), F.col("vec_id") < 3, index=index))
+    assert sorted((r[0], r[2]) for r in few) == [(q, i) for q in range(3) for i in range(9) if i != q]
+
+
+def test_lists_are_taken_in_order_until_they_hold_enough():
+    index = N.Index({1: np.array([[4.0], [3.0], [2.0], [1.0]])}, {1: np.eye(1)}, {1: 1})
+    held = np.array([3, 0, 18, 500])
+    rows, lists = index.searched(np.array([[1.0], [-1.0]]), held, 20)
+    assert list(zip(rows.tolist(), lists.tolist(), strict=True)) == [(0, 0), (0, 1), (0, 2), (1, 3)]
