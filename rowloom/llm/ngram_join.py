@@ -205,7 +205,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     Two documents are linked from similarity 0.8 of their sets of five-word shingles. Null and empty texts have no
     shingle and no link; rows without an id get ``n_shingles`` and a null component; repeated rows each
     get their row; rows that share an id are one document that is linked where any of its texts is; other columns
-    are ignored.
+    are ignored. Links within a component aren't enumerated: pairs already in one component aren't verified.
     """
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
