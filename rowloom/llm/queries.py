@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import (
-    decontaminate, langid, license_scan, line_dedup, mixing, nearest, ngram_join, quality, token_count, toxicity,
+    decontaminate, filter_audit, langid, license_scan, line_dedup, mixing, nearest, ngram_join, periodic_runs, quality,
+    substring_dedup, token_count, toxicity,
 )
 from rowloom.llm.common import table
 
@@ -51,14 +52,27 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify_languages(table(spark, folder, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.with_repeated_tails(table(spark, folder, "documents")))
+
+
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_digest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_mixing, op3_decontamination, op4_line_dedup, op5_license_scan, op6_quality_classifier,
-        op7_toxicity, op8_token_counts, op9_nearest_neighbours, op10_language_id,
+        op7_toxicity, op8_token_counts, op9_nearest_neighbours, op10_language_id, op11_filter_audit, op12_periodic_runs, op13_substring_dedup,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_mixing": mixing.ORACLE, "op4_line_dedup": line_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE, "op13_substring_dedup": substring_dedup.ORACLE,
 }
