@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rowloom.llm.common import WordHashes, fresh, mix, stored
 from rowloom.plans.joins import lookup
@@ -202,7 +203,7 @@ def elsewhere(asked: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int32()), "places": pa.array(found, pa.binary())})
 
 
-def cut(columns: list[str], chunk: pa.Table, found: pa.Table) -> pa.Table:
+def cut(chunk: pa.Table, found: pa.Table) -> pa.Table:
     """The chunk's documents without the words of their maximal repeats; texts that only stand in for copies go."""
     chunk = _in_order(chunk)
     places = np.sort(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in found["places"].to_pylist())])).astype(np.int64)
@@ -260,10 +261,8 @@ def drop_substrings(docs: DataFrame, text: str = "text") -> DataFrame:
     replied = announced.groupBy("range").applyInArrow(anchors, REPLIED)
     asked = dealt.groupBy("chunk").cogroup(replied.groupBy("chunk")).applyInArrow(lambda chunk, back: extend(bits, chunk, back), ASKED)
     found = asked.groupBy("range").applyInArrow(elsewhere, PLACES)
-    kind = read.schema["row"].dataType.simpleString()
-    final = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-        lambda chunk, places: cut(names, chunk, places), f"row {kind}, text string, n_words bigint, n_removed bigint"
-    )
+    shape = StructType([StructField("row", dealt.schema["row"].dataType), *StructType.fromDDL("text string, n_words bigint, n_removed bigint")])
+    final = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, shape)
     words = F.expr("filter(split(text, '[ \\\\t-\\\\r]+'), w -> w != '')")
     whole = copies.withColumn("_w", words).withColumn("n_words", F.coalesce(F.size("_w"), F.lit(0)).cast("bigint"))
     whole = whole.withColumn("_all", F.col("n_words") >= WINDOW).select(
