@@ -6,13 +6,19 @@ used on streams as they are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from rowloom.operators.events import event_windows
+from rowloom.operators.events import beyond_allowed, event_windows, sessions
+from rowloom.operators.rules import row_violations
 from rowloom.plans.joins import without_match
+from rowloom.plans.spec import BusinessRule
 
 
 def keep_first_in_watermark(df: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -36,9 +42,93 @@ def stream_orphans(
     return without_match(child, keys, [child_column], hot)
 
 
-def linked_notes(events: DataFrame, notes: DataFrame, delay: str, within: str) -> DataFrame:
-    """Notes joined to their events on two streams; each side waits at most ``within``."""
+def linked_notes(events: DataFrame, notes: DataFrame, delay: str, within: str, how: str = "inner") -> DataFrame:
+    """Notes joined to their events on two streams; each side waits at most ``within``.
+
+    With ``how`` as ``left_outer`` notes without an event come out too, once the watermark says that none can follow.
+    """
     left = notes.withWatermark("note_ts", delay)
     right = events.withWatermark("ts", delay)
     near = F.expr(f"note_ts >= ts AND note_ts <= ts + INTERVAL {within}")
-    return left.join(right, (F.col("linked_event_id") == F.col("event_id")) & near)
+    return left.join(right, (F.col("linked_event_id") == F.col("event_id")) & near, how)
+
+
+def unlinked_notes(events: DataFrame, notes: DataFrame, delay: str, within: str) -> DataFrame:
+    """Notes whose event hasn't come ``within`` the time they wait for it; notes that name no event never get one."""
+    joined = linked_notes(events, notes, delay, within, "left_outer")
+    return joined.filter(F.col("event_id").isNull()).select(*notes.columns)
+
+
+def rule_counts(df: DataFrame, table: str, rules: Sequence[BusinessRule]) -> DataFrame:
+    """Running violations of all row rules of a stream, in update mode: one row of state, whatever arrives."""
+    return row_violations(df, table, rules)
+
+
+def closed_sessions(df: DataFrame, gap: str, delay: str, group: Sequence[str], value: str, time: str = "ts") -> DataFrame:
+    """Sessions of events at most ``gap`` apart, emitted once the watermark has passed their end."""
+    return sessions(df.withWatermark(time, delay), gap, group, value, time)
+
+
+def split_orphans(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> Callable[[DataFrame], DataFrame]:
+    """A step for ``run_batches``: rows of a micro-batch whose foreign key is missing in the parent table.
+
+    Frequent keys are counted in every batch and met by broadcast, so that what is hot today needn't be known before and
+    isn't gathered in one task; a small parent is broadcast as a whole.
+    """
+    keys = parent.select(F.col(parent_column).alias(child_column))
+    columns = child.columns
+    return lambda batch: without_match(batch, keys, [child_column]).select(*columns)
+
+
+def observed_late(df: DataFrame, allowed: str, name: str = "late") -> DataFrame:
+    """Measure events, late ones and those past the allowed delay while a stream of ``late_arrivals`` runs."""
+    return df.observe(
+        name, F.count(F.lit(1)).alias("events"), F.count_if("late_arrival").alias("late_events"), F.count_if(beyond_allowed(allowed)).alias("beyond_allowed")
+    )
+
+
+#: Cells survive the way through state as text.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def keep_least_in_watermark(df: DataFrame, key: Sequence[str], order: str, time: str, delay: str) -> DataFrame:
+    """Of every key the row that comes first in an order, whenever it arrives.
+
+    State holds the best row of a key so far. A key is settled when the watermark, ``delay`` behind the newest event, passes its
+    newest event: then its row comes out and its state goes, so state holds only keys of the last while. A key that is
+    seen again after that starts anew. Of equal order values the first that arrived stays; rows without an order value come
+    last, rows without an event time never settle a key. Null keys are one key.
+    """
+    row, field = "_row", df.schema[order]
+    shown = df.withWatermark(time, delay).select(
+        *key, F.col(time).alias(time), F.col(order).alias("_order"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), EXACT).alias(row)
+    )
+    state = StructType([StructField("order", field.dataType), StructField("newest", LongType()), StructField("row", StringType())])
+
+    def least(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            yield pd.DataFrame({row: [held.get[2]]})
+            held.remove()
+            return
+        best: tuple[Any, Any] = (None, None)
+        newest = None
+        if held.exists:
+            kept_order, newest, kept_row = held.get
+            best = (kept_order, kept_row)
+        for batch in batches:
+            orders = batch["_order"].astype(object).where(batch["_order"].notna(), None).tolist()
+            for value, cells in zip(orders, batch[row].tolist(), strict=True):
+                if best[1] is None or (value is not None and (best[0] is None or value < best[0])):
+                    best = (value, cells)
+            seen = batch[time].dropna()
+            if len(seen):
+                latest = int(seen.max().timestamp() * 1000)
+                newest = latest if newest is None else max(newest, latest)
+        held.update((best[0], newest, best[1]))
+        if newest is not None:
+            held.setTimeoutTimestamp(max(newest, held.getCurrentWatermarkMs()) + 1)
+        return
+        yield
+
+    settled = shown.groupBy(*key).applyInPandasWithState(least, f"{row} string", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return settled.select(F.from_json(row, df.schema, EXACT).alias("r")).select("r.*")

@@ -37,12 +37,13 @@ def _changed(orders: DataFrame):
     return exact_share(orders, 0.2, SEED, "orders.change", KEY, at_least=0)
 
 
-@query(
-    "tag_incremental",
-    f"""SELECT *, {_CREATED} AS created_at,
-    {_CREATED} + CASE WHEN {_CHANGED} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS updated_at,
-    'batch_42' AS batch_id FROM orders""",
-)
+def incremental_sql(changed: str) -> str:
+    return f"""SELECT *, {_CREATED} AS created_at,
+    {_CREATED} + CASE WHEN {changed} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS updated_at,
+    'batch_42' AS batch_id FROM orders"""
+
+
+@query("tag_incremental", incremental_sql(_CHANGED))
 def tag_incremental(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     return change_tags.tag_incremental(orders, KEY, _changed(orders), SEED)

@@ -183,6 +183,20 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return events.event_windows(table(spark, folder, "events"), "1 day", ["event_type"], "value")
 
 
+# Sessions by gaps: an event opens one where the user's event before is more than the gap away
+
+SESSION_GAP = "30 minutes"
+SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+    SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS events,
+    sum(value::DECIMAL(28,6))::DOUBLE AS value_sum FROM n GROUP BY user_id, session"""
+
+
+@query("event_sessions", SESSIONS)
+def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return events.event_sessions(table(spark, folder, "events"), SESSION_GAP, ["user_id"], "value")
+
+
 @query(
     "late_report",
     f"""SELECT date_trunc('hour', coalesce(event_ts_original, ts)) AS window_start, count(*) AS events,
