@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.plans.catalog import union_all
@@ -49,6 +49,33 @@ def orphan_rows(
     return without_match(child, keys, child_columns)
 
 
+def orphan_samples(
+    tables: Mapping[str, DataFrame], foreign_keys: Sequence[ForeignKey], keys: Mapping[str, Sequence[str]], per_key: int = 5
+) -> DataFrame:
+    """Of every foreign key the first orphan rows in the order of their own key: ``foreign_key, sample_no, row_key, value, message``.
+
+    ``keys`` names the key columns of the child tables. Every task sends its first rows only, so the sample costs what finding the
+    orphans costs, however many there are. Rows of equal keys come in the order of their foreign key; a null in a row key
+    shows as nothing.
+    """
+    return union_all([_samples(tables, fk, list(keys[fk.child]), per_key) for fk in foreign_keys])
+
+
+def _samples(tables: Mapping[str, DataFrame], fk: ForeignKey, key: list[str], per_key: int) -> DataFrame:
+    def shown(columns: Sequence[str]) -> Column:
+        return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+
+    orphans = orphan_rows(tables[fk.child], fk.child_columns, tables[fk.parent], fk.parent_columns)
+    order = [*key, *(c for c in fk.child_columns if c not in key)]
+    first = orphans.select(*order).orderBy(*order).limit(per_key)
+    numbered = first.withColumn("sample_no", F.row_number().over(Window.orderBy(*order)))
+    named, parent = f"{fk.child}.{','.join(fk.child_columns)}", fk.parent
+    return numbered.select(
+        F.lit(fk.name).alias("foreign_key"), "sample_no", shown(key).alias("row_key"), shown(fk.child_columns).alias("value"),
+        F.concat(F.lit(f"{named} of row "), shown(key), F.lit(" is "), shown(fk.child_columns), F.lit(f", which {parent} lacks")).alias("message"),
+    )
+
+
 def intact(report: DataFrame) -> bool:
     """Overall verdict of a report; a report holds one row per foreign key."""
     return report.filter(~F.col("intact")).isEmpty()

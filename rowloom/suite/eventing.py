@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import fixed_values as fixed
 from rowloom.functions import rng
-from rowloom.operators import contracts, events
+from rowloom.operators import contracts, events, json_schema
 from rowloom.operators.selection import exact_share
 from rowloom.suite import duck
 from rowloom.suite.registry import query, table
@@ -256,3 +256,43 @@ DEEP_REASON = """nullif(concat_ws('; ', CASE WHEN event_id % 7 = 0 THEN 'propert
 def json_contract_deep(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "events").select(KEY, F.expr(DEEP_RECORD).alias("record"))
     return contracts.check_records(records, "record", DEEP).select(KEY, "passed", "reason")
+
+
+# A schema document with nested arrays, references and alternatives; the records break it in known places
+
+EVENT_SCHEMA = {
+    "definitions": {
+        "Amount": {"type": "number", "minimum": 0, "multipleOf": 0.01},
+        "Line": {
+            "type": "object", "required": ["sku", "amount"], "additionalProperties": False,
+            "properties": {"sku": {"type": "string", "pattern": "^[a-z]+-[0-9]+$"}, "amount": {"$ref": "#/definitions/Amount"}, "note": {"type": ["string", "null"]}},
+        },
+        "Event": {
+            "type": "object", "required": ["id", "lines"], "properties": {
+                "id": {"type": "integer"}, "version": {"const": 2}, "by": {"oneOf": [{"type": "string", "maxLength": 5}, {"type": "integer"}]},
+                "lines": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"$ref": "#/definitions/Line"}},
+            },
+        },
+    },
+}
+EVENT_RECORD = """concat('{"id":', IF(event_id % 11 = 0, concat('"', event_id, '"'), CAST(event_id AS STRING)), ',"version":', IF(event_id % 13 = 0, 1, 2),
+    ',"by":', IF(event_id % 17 = 0, '"longer"', IF(event_id % 2 = 0, '"user"', CAST(user_id AS STRING))), ',"lines":', CASE WHEN event_id % 19 = 0 THEN '[]'
+    WHEN event_id % 5 = 0 THEN concat('[{"sku":"x-1","amount":1.5},{"sku":"', event_type, '","amount":', CAST(CAST(value AS DECIMAL(20,2)) AS STRING), '}]')
+    WHEN event_id % 7 = 0 THEN '[{"sku":"a-1","amount":-1},{"amount":2,"more":true}]' WHEN event_id % 3 = 0 THEN '[{"sku":"a-1","amount":2},{"amount":2.0,"sku":"a-1"}]'
+    ELSE concat('[{"sku":"a-', event_id, '","amount":', CAST(CAST(value AS DECIMAL(20,2)) AS STRING), ',"note":null}]') END, '}')"""
+EVENT_FAULTS = """list_filter([CASE WHEN event_id % 11 = 0 THEN '$.id is not integer' END, CASE WHEN event_id % 13 = 0 THEN '$.version is not the given value' END,
+    CASE WHEN event_id % 17 = 0 THEN '$.by doesn''t fit exactly one of the alternatives' END,
+    CASE WHEN event_id % 19 = 0 THEN '$.lines has fewer than 1 items' WHEN event_id % 5 = 0 THEN '$.lines[1].sku doesn''t match ^[a-z]+-[0-9]+$'
+      WHEN event_id % 7 = 0 THEN '$.lines[0].amount is less than 0; $.lines[1] lacks sku; $.lines[1].more is not allowed'
+      WHEN event_id % 3 = 0 THEN '$.lines has items twice' END], lambda x: x IS NOT NULL)"""
+
+
+@query(
+    "json_schema",
+    f"""SELECT event_id, len(f) = 0 AS passed, nullif(array_to_string(f, '; '), '') AS reason,
+    CAST(len(string_split(array_to_string(f, '; '), '; ')) - CASE WHEN len(f) = 0 THEN 1 ELSE 0 END AS INT) AS errors
+    FROM (SELECT event_id, {EVENT_FAULTS} AS f FROM events)""",
+)
+def json_schema_records(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "events").select(KEY, F.expr(EVENT_RECORD).alias("record"))
+    return json_schema.check_schema(records, "record", EVENT_SCHEMA, "#/definitions/Event").select(KEY, "passed", "reason", "errors")

@@ -158,6 +158,24 @@ def ref_integrity(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.ref_integrity(_linked(spark, folder), LINKS)
 
 
+ROW_KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
+def _sample_sql(fk: ForeignKey, parent: str) -> str:
+    column, key = fk.child_columns[0], ROW_KEYS[fk.child]
+    order = ", ".join(dict.fromkeys([*key, column]))
+    row = " || '|' || ".join(f"{c}::VARCHAR" for c in key)
+    return f"""SELECT '{fk.name}' AS foreign_key, n::INT AS sample_no, {row} AS row_key, {column}::VARCHAR AS value,
+    '{fk.child}.{column} of row ' || {row} || ' is ' || {column} || ', which {fk.parent} lacks' AS message
+    FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM {fk.child}
+      WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {fk.parent_columns[0]} FROM {parent})) WHERE n <= 5"""
+
+
+@query("ref_orphan_samples", " UNION ALL ".join(_sample_sql(fk, parent) for fk, parent in zip(LINKS, (SOLVENT, SETTLED, "part"), strict=True)))
+def ref_orphan_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.orphan_samples(_linked(spark, folder), LINKS, ROW_KEYS)
+
+
 @query("ref_orphan_rows", f"SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {SETTLED})")
 def ref_orphan_rows(spark: SparkSession, folder: str) -> DataFrame:
     t = _linked(spark, folder)
