@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import providers, rng
 from rowloom.functions.shapes import apply_shape, floor_to
+from rowloom.plans.planning import RowPlanner, planned_rows
+from rowloom.plans.pointers import follow
 from rowloom.plans.spec import (
     LOGICAL_TYPES,
     ColumnSpec,
     DatasetSpec,
     TableSpec,
     ValueRule,
-    plan_row_counts,
     rule_problems,
 )
 
@@ -180,14 +181,16 @@ def generate_table(
 
 def generate_dataset(
     spark: SparkSession, spec: DatasetSpec, scale: int, seed: int, only: Sequence[str] | None = None,
-    counts: Mapping[str, int] | None = None, locale: str = "en_US",
+    counts: Mapping[str, int] | None = None, locale: str = "en_US", planner: str | RowPlanner = "by_name",
 ) -> dict[str, DataFrame]:
     """All tables of a dataset with foreign keys resolved.
 
+    How many rows a table gets is up to ``counts`` or else to the planner, a registered name or any row planner.
+
     Generated parents have keys ``base + i``, so a child's key is arithmetic and no
     join is planned. Parents keyed by a rule are evaluated at the parent's row.
     """
-    planned = dict(counts or plan_row_counts(spec, scale, only))
+    planned = dict(counts) if counts else planned_rows(planner, spec, scale, only)
     tables: dict[str, DataFrame] = {}
     for name in spec.load_order():
         if name not in planned:
@@ -208,12 +211,18 @@ def generate_dataset(
     return tables
 
 
-def json_records(index: Column, schema: Mapping[str, object]) -> Column:
+#: How often a reference inside a reference is followed in sample records.
+SAMPLE_DEPTH = 3
+
+
+def json_records(index: Column, schema: Mapping[str, object], root: Mapping[str, object] | None = None, depth: int = SAMPLE_DEPTH) -> Column:
     """Sample JSON text for a JSON-schema-like description, driven by the row index.
 
-    Supported: enum, string formats, integer, number, boolean, null, array, object.
+    Supported: references into ``root`` (by default the schema itself), enum, string formats, integer, number, boolean, null, array,
+    object. Recursive descriptions are followed ``depth`` references deep: below that a property is null and a list empty. A reference
+    that leads nowhere raises an error.
     """
-    return F.to_json(_sample(schema, index), {"ignoreNullFields": "false"})
+    return F.to_json(_sample(schema, index, root if root is not None else schema, depth), {"ignoreNullFields": "false"})
 
 
 # Sample text per string format.
@@ -225,7 +234,11 @@ FORMAT_SAMPLES = {
 }
 
 
-def _sample(schema: Mapping[str, object], seed: Column) -> Column:
+def _sample(schema: Mapping[str, object], seed: Column, root: Mapping[str, object], depth: int) -> Column:
+    while "$ref" in schema:
+        if depth <= 0:
+            return F.lit(None).cast("string")
+        schema, depth = follow(root, str(schema["$ref"])), depth - 1
     options = schema.get("enum")
     if options:
         listed = F.array(*[F.lit(o) for o in options])
@@ -241,12 +254,14 @@ def _sample(schema: Mapping[str, object], seed: Column) -> Column:
         return F.lit(None).cast("string")
     if kind == "array":
         item = schema.get("items") or {"type": "string"}
+        if "$ref" in item and depth <= 0:
+            return F.array().cast("array<string>")
         size = F.least(F.lit(2), F.pmod(seed, F.lit(3)) + 1).cast("int")
-        return F.slice(F.array(_sample(item, seed), _sample(item, seed + 1)), F.lit(1), size)
+        return F.slice(F.array(_sample(item, seed, root, depth), _sample(item, seed + 1, root, depth)), F.lit(1), size)
     if kind == "object":
         properties = schema.get("properties") or {}
         return F.struct(
-            *[_sample(p, seed + i * 7).alias(name) for i, (name, p) in enumerate(properties.items())]
+            *[_sample(p, seed + i * 7, root, depth).alias(name) for i, (name, p) in enumerate(properties.items())]
         )
     fixed = FORMAT_SAMPLES.get(str(schema.get("format", "")))
     return F.lit(fixed) if fixed else F.concat(F.lit("sample_"), seed.cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from rowloom.functions.shapes import apply_shape, floor_to
 from rowloom.operators import generate
 from rowloom.operators.foreign_keys import assign_foreign_key
 from rowloom.plans.catalog import union_all
+from rowloom.plans.planning import PerParent, RowPlanner
 from rowloom.plans.spec import ColumnSpec, DatasetSpec, ForeignKey, Shape, TableSpec, ValueRule
 from rowloom.suite import duck
 from rowloom.suite.registry import query, table
@@ -382,6 +385,70 @@ def gen_dataset(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+class Quarters:
+    """A planner of a user's own: every fourth customer orders, and each order has four items."""
+
+    def plan_row_counts(self, spec: DatasetSpec, scale: int, only: Sequence[str] | None = None) -> dict[str, int]:
+        return {"customers": scale, "orders": scale // 4, "order_items": scale // 4 * 4}
+
+
+PLANS: dict[str, str | RowPlanner] = {"by_name": "by_name", "quarters": Quarters(), "ratios": PerParent({"orders": 1.5, ("order_items", "orders"): 2})}
+_PLAN_ROWS = {"by_name": ("c", "2 * c", "3 * c"), "quarters": ("c", "c // 4", "c // 4 * 4"), "ratios": ("c", "round_even(c * 1.5, 0)", "round_even(c * 1.5, 0) * 2")}
+
+
+@query(
+    "gen_dataset_planned",
+    " UNION ALL ".join(
+        f"""SELECT '{plan}' AS plan, '{name}' AS table_name, CAST({rows} AS BIGINT) AS made_rows,
+        CAST({f"least({rows}, {up})" if up else "0"} AS BIGINT) AS parents_used FROM (SELECT count(*) AS c FROM customer)"""
+        for plan, counts in _PLAN_ROWS.items() for name, rows, up in zip(("customers", "orders", "order_items"), counts, (None, *counts[:2]), strict=True)
+    ),
+)
+def gen_dataset_planned(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows made under three planners, and how many parents have children then."""
+    scale, parents = table(spark, folder, "customer").count(), {"customers": None, "orders": "customer_id", "order_items": "order_id"}
+    parts = []
+    for plan, planner in PLANS.items():
+        for name, made in generate.generate_dataset(spark, SHOP, scale, SEED, planner=planner).items():
+            used = F.countDistinct(parents[name]) if parents[name] else F.lit(0)
+            parts.append(made.agg(F.lit(plan).alias("plan"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("made_rows"), used.cast("bigint").alias("parents_used")))
+    return union_all(parts)
+
+
+# Both columns of a line's key go to an event, from the same line
+
+@query(
+    "assign_fk_composite",
+    """WITH parents AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS position FROM lineitem)
+       SELECT event_id, l_orderkey AS order_key, l_linenumber AS line_number
+       FROM events JOIN parents ON position = event_id % (SELECT count(*) FROM parents)""",
+)
+def assign_fk_composite(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_id")
+    return assign_foreign_key(events, "event_id", ["order_key", "line_number"], table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+NODE = {
+    "$ref": "#/definitions/Node",
+    "definitions": {"Node": {"type": "object", "properties": {
+        "id": {"type": "integer"}, "next": {"$ref": "#/definitions/Node"}, "kids": {"type": "array", "items": {"$ref": "#/definitions/Node"}},
+    }}},
+}
+
+
+def _node_sql(seed: str) -> str:
+    return f"'{{\"id\":' || ({KEY} + {seed}) || ',\"next\":null,\"kids\":[]}}'"
+
+
+@query(
+    "gen_json_recursive",
+    f"""SELECT {KEY} AS row_idx, '{{"id":' || {KEY} || ',"next":' || {_node_sql('7')} || ',"kids":[' || {_node_sql('14')} ||
+    CASE WHEN ({KEY} + 14) % 3 = 0 THEN '' ELSE ',' || {_node_sql('15')} END || ']}}' AS value FROM orders""",
+)
+def gen_json_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    return _positions(spark, folder).select("row_idx", generate.json_records(F.col("row_idx"), NODE, depth=2).alias("value"))
+
+
 RECORD = {
     "type": "object",
     "properties": {
