@@ -99,23 +99,21 @@ def support_notes(events: DataFrame, position: str, chosen: Column, seed: int) -
 def link_totals(events: DataFrame, notes: DataFrame) -> DataFrame:
     """One row: events, notes, matched and orphan links, coverage.
 
-    Notes are counted per link first; events only say which links exist, so their ids aren't made distinct.
+    Ids of events and links of notes are counted together, one shuffle of numbers and neither side twice; a link that many notes
+    share is summed on the map side.
     """
-    linked = notes.filter(F.col("linked_event_id").isNotNull()).groupBy("linked_event_id").agg(
-        F.count(F.lit(1)).alias("notes")
+    ids = events.select(F.col("event_id").alias("id"), F.lit(0).alias("notes"), F.lit(1).alias("events"))
+    links = notes.filter(F.col("linked_event_id").isNotNull()).select(F.col("linked_event_id").alias("id"), F.lit(1).alias("notes"), F.lit(0).alias("events"))
+    each = ids.unionByName(links).groupBy("id").agg(F.sum("notes").alias("notes"), F.sum("events").alias("events"))
+    named = F.col("id").isNotNull() & (F.col("notes") > 0)
+    totals = each.agg(
+        F.coalesce(F.sum("notes"), F.lit(0)).alias("linked_notes"),
+        F.count_if(named & (F.col("events") > 0)).alias("linked_event_count"),
+        F.count_if(named & (F.col("events") == 0) & (F.col("id") != "")).alias("orphan_link_count"),
+        F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
     )
-    hits = linked.join(events.select(F.col("event_id").alias("linked_event_id")), "linked_event_id", "left_semi")
-    named = F.col("linked_event_id") != ""
-
-    def totals(df: DataFrame, **given: Column) -> DataFrame:
-        names = ("linked_notes", "linked_event_count", "orphan_link_count", "total_events")
-        return df.agg(*[given.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
-
-    parts = totals(linked, linked_notes=F.coalesce(F.sum("notes"), F.lit(0)), orphan_link_count=F.count_if(named))
-    parts = parts.unionByName(totals(hits, linked_event_count=F.count(F.lit(1)), orphan_link_count=-F.count_if(named)))
-    parts = parts.unionByName(totals(events, total_events=F.count(F.lit(1))))
     share = F.col("linked_event_count").cast("double") / F.greatest(F.lit(1), F.col("total_events")).cast("double")
-    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).withColumn("coverage_ratio", half_up(share, 4))
+    return totals.withColumn("coverage_ratio", half_up(share, 4))
 
 
 def orphan_links(events: DataFrame, notes: DataFrame, limit: int | None = None) -> DataFrame:

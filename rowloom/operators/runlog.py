@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import fixed_values as fixed
 from rowloom.functions.shapes import half_up
+from rowloom.operators.indexing import dense_index
 from rowloom.plans.joins import lookup
 
 #: Newest runs that are kept, up to which their ids are broadcast.
@@ -27,31 +28,33 @@ def run_metrics(runs: DataFrame, error_chars: int | None = None) -> DataFrame:
     duration. One pass: each run counts for all of its metrics at once.
     """
     rows = F.coalesce("summary.total_rows", "summary.total_rows_generated", "summary.rows_generated")
-    error = F.substring_index(F.coalesce("error_message", F.lit("unknown")), "\n", 1)
+    error = F.substring_index(F.coalesce(F.col("error_message"), F.lit("unknown")), "\n", 1)
     if error_chars is not None:
         error = F.substring(error, 1, error_chars)
+    # Runs of one kind are summed before they count for their metrics: few rows, whatever the log holds.
+    seconds = F.col("duration_seconds").cast("decimal(28,6)")
+    kinds = runs.groupBy(
+        F.coalesce("run_type", F.lit("generate")).alias("type"), F.coalesce("status", F.lit("unknown")).alias("status"),
+        F.when(F.col("status") == "failed", error).alias("failure"),
+    ).agg(F.count(F.lit(1)).alias("runs"), F.sum(rows.cast("bigint")).alias("rows"), F.sum(seconds).alias("seconds"), F.count(seconds).alias("timed"))
 
     def entry(metric: str, label: Column) -> Column:
         return F.struct(F.lit(metric).alias("metric"), label.alias("label"))
 
-    everything = F.lit("all")
     entries = F.array(
-        entry("runs_by_type", F.coalesce("run_type", F.lit("generate"))),
-        entry("runs_by_status", F.coalesce("status", F.lit("unknown"))),
-        F.when(F.col("status") == "failed", entry("failures", error)),
-        *[entry(m, everything) for m in TOTALS],
+        entry("runs_by_type", F.col("type")), entry("runs_by_status", F.col("status")),
+        F.when(F.col("failure").isNotNull(), entry("failures", F.col("failure"))),
     )
-    seconds = F.col("duration_seconds")
-    counted = runs.select(rows.cast("bigint").alias("_rows"), seconds.cast("decimal(28,6)").alias("_seconds"), F.lit(1).alias("_one"), F.explode(entries).alias("e"))
-    # So that the totals of a log without runs are there too.
-    none = runs.sparkSession.createDataFrame([(m, "all") for m in TOTALS], "metric string, label string")
-    none = none.select(F.lit(None).cast("bigint").alias("_rows"), F.lit(None).cast("decimal(28,6)").alias("_seconds"), F.lit(0).alias("_one"), F.struct("metric", "label").alias("e"))
-    sums = counted.filter("e IS NOT NULL").unionByName(none).groupBy("e.metric", "e.label").agg(
-        F.sum("_one").cast("double").alias("runs"), F.coalesce(F.sum("_rows"), F.lit(0)).cast("double").alias("rows"),
-        half_up(F.sum("_seconds").cast("double") / F.nullif(F.count("_seconds"), F.lit(0)), 2).alias("mean"),
+    counted = kinds.select("runs", F.explode(entries).alias("e")).filter("e IS NOT NULL").groupBy("e.metric", "e.label").agg(
+        F.sum("runs").cast("double").alias("value")
     )
-    value = F.when(F.col("metric") == "total_rows", F.col("rows")).when(F.col("metric") == "average_duration_seconds", F.col("mean"))
-    return sums.select("metric", "label", value.otherwise(F.col("runs")).alias("value"))
+    # One row of totals, also for a log without runs.
+    mean = half_up(F.sum("seconds").cast("double") / F.nullif(F.sum("timed"), F.lit(0)), 2)
+    sums = kinds.agg(
+        *[c.cast("double").alias(m) for m, c in zip(TOTALS, (F.coalesce(F.sum("runs"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), mean), strict=True)]
+    )
+    totals = sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("all").alias("label"), F.col(m).alias("value")) for m in TOTALS])).alias("e"))
+    return counted.unionByName(totals.select("e.*"))
 
 
 TOTALS = ("total_runs", "total_rows", "average_duration_seconds")
@@ -103,12 +106,15 @@ class RetentionPolicy:
 def retention_candidates(runs: DataFrame, policy: RetentionPolicy, now: Column) -> DataFrame:
     """Runs that may be removed: beyond the newest ``keep_newest``, or too old.
 
-    Ranks count all runs, also those no policy may remove. Only the newest
-    ``keep_newest`` rows are ever ranked; the policy setting bounds that broadcast.
+    Ranks count all runs, also those no policy may remove. Up to BROADCAST_RUNS the newest
+    rows are gathered and broadcast; more are numbered by a range-partitioned sort.
     """
-    newest = runs.orderBy(F.desc("created_at"), "run_id").limit(policy.keep_newest).select(
-        "run_id", F.lit(True).alias("_newest")
-    )
+    order = [F.desc("created_at"), "run_id"]
+    if policy.keep_newest <= BROADCAST_RUNS:
+        newest = runs.orderBy(*order).limit(policy.keep_newest)
+    else:
+        newest = dense_index(runs.select("run_id", "created_at"), order, "_place").filter(F.col("_place") < policy.keep_newest)
+    newest = newest.select("run_id", F.lit(True).alias("_newest"))
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(
         86_400_000_000.0
     )

@@ -45,15 +45,18 @@ def write_json_array(df: DataFrame, path: str) -> str:
 
     def bracket(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         started = False
         for batch in batches:
-            lines = batch.column(0).to_pylist()
-            if not lines:
+            if not batch.num_rows:
                 continue
-            text = [("," if started or i else "[") + line for i, line in enumerate(lines)]
+            text = pc.binary_join_element_wise(pa.scalar(","), batch.column(0), pa.scalar(""))
+            if not started:
+                # The first row of the file opens the array instead.
+                text = pa.concat_arrays([pc.utf8_replace_slice(text[:1], 0, 1, "["), text[1:]])
             started = True
-            yield pa.RecordBatch.from_pydict({"value": pa.array(text, pa.string())})
+            yield pa.RecordBatch.from_arrays([text], ["value"])
         if started:
             yield pa.RecordBatch.from_pydict({"value": pa.array(["]"], pa.string())})
 

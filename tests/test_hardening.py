@@ -1,6 +1,10 @@
 """Limits, odd cells and plan shapes that the given tables don't show."""
 
 import json
+import os
+import pathlib
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -179,3 +183,29 @@ def test_contracts_in_depth(spark):
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, r string")
     got = [r.reason for r in contracts.check_records(df, "r", whole).orderBy("i").collect()]
     assert got == [reason for _, reason in rows]
+
+
+def test_entry_without_a_package_of_the_optional_part(tmp_path):
+    """A machine without one third-party package keeps all queries that don't need it."""
+    root = pathlib.Path(__file__).parent.parent
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not here', name='ahocorasick')")
+    code = "import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); print(len(q) > 150, 'pipeline' in q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{root}"}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() in (["True", "False"], ["True", "True"]) and not done.returncode, done.stderr
+    if (root / "rowloom" / "llm").is_dir():
+        assert done.stdout.split() == ["True", "False"]
+
+
+def test_retention_of_more_runs_than_are_broadcast(spark, monkeypatch):
+    rows = [(f"r{i:03}", "generate", "succeeded", f"2024-01-{1 + i % 28:02} 00:00:00", False, False) for i in range(60)]
+    runs = spark.createDataFrame(rows, "run_id string, run_type string, status string, created_at string, pinned boolean, archived boolean")
+    runs = runs.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+    def left():
+        return sorted(r.run_id for r in runlog.retention_candidates(runs, runlog.RetentionPolicy(25), now).collect())
+
+    few = left()
+    monkeypatch.setattr(runlog, "BROADCAST_RUNS", 10)
+    newest = {r[0] for r in sorted(sorted(rows), key=lambda r: r[3], reverse=True)[:25]}
+    assert left() == few == sorted({r[0] for r in rows} - newest)
