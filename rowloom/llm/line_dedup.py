@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import fresh
+from rowloom.llm.common import fresh, stored
 
 #: A repeated run is deleted from its second occurrence on if it has so many words.
 MIN_WORDS = 50
@@ -75,12 +75,14 @@ def run_windows(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
         "named_struct('at', z.at - shiftleft(1, k), 'sum', z.sum + get(get(s, k), z.at - shiftleft(1, k) + 1)), z), z -> z.at)"
     )
     places = "IF(_n > 0, sequence(0, _n - 1), array())"
+    packed = "shiftleft(CAST(r.start AS BIGINT), 32) + r.last"
     made = made.withColumn(
         "_runs",
         F.expr(
-            "array_distinct(concat("
-            f"filter(transform({places}, i -> named_struct('start', i, 'last', {ahead})), r -> r.last < _n), "
-            f"filter(transform({places}, i -> named_struct('start', {back}, 'last', i)), r -> r.start >= 0)))"
+            # Start and last place as one number, so that equal runs are found by a hash set.
+            f"transform(array_distinct(concat(transform(filter(transform({places}, i -> named_struct('start', i, 'last', {ahead})), r -> r.last < _n), r -> {packed}), "
+            f"transform(filter(transform({places}, i -> named_struct('start', {back}, 'last', i)), r -> r.start >= 0), r -> {packed}))), "
+            "x -> named_struct('start', CAST(shiftright(x, 32) AS INT), 'last', CAST(x & 4294967295L AS INT)))"
         ),
     )
     size = "(r.last - r.start + 1)"
@@ -105,7 +107,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     Runs are all kept but those that stand first in the order of id, text hash and line; removing these by an
     anti join on key *and* place spreads a run that stands in a third of all documents over all tasks.
     """
-    windows = run_windows(docs, min_words, text)
+    windows = stored(run_windows(docs, min_words, text), "line-runs")
     firsts = windows.groupBy("key1", "key2").agg(F.min(F.struct("_nid", "_id", "_hash", "start")).alias("f"))
     copies = windows.join(firsts.select("key1", "key2", "f.*"), ["key1", "key2", "_nid", "_id", "_hash", "start"], "left_anti")
     return copies.groupBy("_nid", "_id", "_hash").agg(
@@ -134,11 +136,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
         & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("_hash")),
         "left",
     )
-    # Places among the lines that aren't blank become line numbers; what isn't deleted is joined again.
+    # Places among the lines that aren't blank become line numbers; what isn't deleted is joined again. What is used twice isn't
+    # moved into the function that uses it, where it would be made anew for every line.
     cut = (
         joined.withColumn("_all", F.when(F.col("_gone").isNotNull(), F.split(body, "\n")))
         .withColumn("_at", F.expr(f"filter(transform(_all, (l, i) -> IF({BLANKS.format('l')} != '', i, -1)), i -> i >= 0)"))
-        .withColumn("_kept", F.expr("array_except(sequence(0, size(_all) - 1), transform(_gone, g -> get(_at, g)))"))
+        .withColumn("_kept", F.expr("array_except(sequence(0, size(_all) - 1), transform(_gone, g -> IF(g < size(_at), get(_at, g), NULL)))"))
         .withColumn("_new", F.expr("array_join(transform(_kept, i -> get(_all, i)), '\\n')"))
     )
     new = F.when(F.col("_gone").isNull(), F.col("row")[text]).otherwise(F.col("_new"))

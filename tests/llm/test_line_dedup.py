@@ -83,3 +83,26 @@ def test_long_text(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(["x", *lines[100:2900], "y"]))]
     got = {r.doc_id: (r.text, r.n_deleted) for r in L.dedup_lines(documents(spark, rows)).collect()}
     assert got[1] == (rows[0][1], 0) and got[2] == ("x\ny", 2800)
+
+
+def test_a_hundred_thousand_lines(spark):
+    """One log file: every line new, but for a third of them that repeats an earlier stretch of the file."""
+    lines = [f"at {i} something of four" for i in range(70_000)]
+    text = "\n".join([*lines, *lines[20_000:50_000]])
+    row = L.dedup_lines(documents(spark, [(1, text)])).first()
+    assert (row.n_lines, row.n_deleted) == (100_000, 30_000) and row.text == "\n".join(lines)
+
+
+def test_one_line_again_and_again(spark):
+    """The stretch overlaps itself: its first runs stay, what only later runs hold goes."""
+    rows = [(1, "\n".join(["five words are in here"] * 400))]
+    got = L.dedup_lines(documents(spark, rows)).first()
+    assert (got.text, got.n_deleted) == brute(rows, L.MIN_WORDS)[0][1:]
+
+
+@pytest.mark.parametrize("copies", [2, 3000])
+def test_rows_repeated_many_times(spark, copies):
+    text = "\n".join(f"{i} with some words more" for i in range(20))
+    rows = [(7, text)] * copies + [(8, f"own\n{text}")]
+    got = L.dedup_lines(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_deleted) for r in got) == [(7, 0)] * copies + [(8, 20)]
