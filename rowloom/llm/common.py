@@ -63,6 +63,20 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, fold: int, bound:
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < cut)
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``doc_id, text, label`` of the chosen ids (``labelled_sample``), one row per id; null texts are left out.
+
+    Of several texts of an id the least counts, so there are never more rows than ids.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL")
+    again = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return rows
+    least = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return rows.join(again, "doc_id", "left_anti").unionByName(least)
+
+
 def pieces(texts: Sequence[str], limit: int) -> Iterator[list[tuple[int, str]]]:
     """Lists of ``(index, part of text)`` of about ``limit`` characters, so that memory stays bounded.
 

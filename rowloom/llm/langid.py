@@ -2,7 +2,8 @@
 
 Counting runs where the documents are: each task keeps one dense count vector per language and
 emits its non-zero entries. What reaches the driver is one count per language and hash bucket,
-whatever the number of documents. Scoring looks n-grams up in the broadcast log-probability matrix.
+whatever the number of documents. Scoring looks n-grams up in the broadcast log-probability matrix,
+or in one matrix after the other where there are very many languages.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import held_out, learnable, pieces
+from rowloom.llm.common import fresh, held_out, learnable, pieces, stored
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 CHUNK_CHARS = 1 << 20
 FLUSH_LANGUAGES = 64
-#: A model above this is refused: it is broadcast, and lang values that number tens of thousands are no languages.
-MODEL_BYTES = 512 << 20
+#: Languages of one model (64 MB). It is broadcast; more languages make more models and a pass for each.
+MODEL_LANGS = 512
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -97,16 +98,14 @@ class LanguageModel:
     prior: np.ndarray
     log_prob: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior.
+    def predict(self, texts: list[str | None]) -> pd.DataFrame:
+        """``lang, top, mass``: of each text the likeliest language, its log score, and all scores relative to it.
 
-        A text that is null or has no letter is ``und`` with score 0. Ties go to the language that
+        The language of a text that is null or has no letter is null. Ties go to the language that
         sorts first. Log likelihoods are divided by the square root of the number of n-grams: they
         aren't independent, and undivided posteriors of long texts are all 1.
         """
         n, kinds = len(texts), len(self.langs)
-        if not kinds:
-            return [UNKNOWN] * n, np.zeros(n)
         total, seen = np.zeros((n, kinds)), np.zeros(n)
         for piece in pieces([t or "" for t in texts], max(1 << 14, CHUNK_CHARS * 4 // (4 + kinds))):
             rows = np.array([i for i, _ in piece])
@@ -114,65 +113,90 @@ class LanguageModel:
                 np.add.at(total, rows, np.add.reduceat(self.log_prob[buckets], starts, axis=0, dtype=np.float64))
                 np.add.at(seen, rows, np.add.reduceat(buckets < BUCKETS, starts, dtype=np.float64))
         joint = (total + self.prior) / np.sqrt(np.maximum(seen, 1))[:, None]
-        best = joint.argmax(axis=1)
-        score = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
-        known = seen > 0
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
+        top = joint.max(axis=1)
+        langs = [self.langs[b] if k else None for b, k in zip(joint.argmax(axis=1), seen > 0, strict=True)]
+        return pd.DataFrame({
+            "lang": pd.Series(langs, dtype=object), "top": top, "mass": np.exp(joint - top[:, None]).sum(axis=1),
+        })
 
 
-def fit_languages(docs: DataFrame, learn_from: Column | None = None, smoothing: float = 0.5) -> LanguageModel:
-    """Learn from every document whose ``lang`` and ``text`` are known and for which ``learn_from`` holds."""
+def fit_languages(
+    docs: DataFrame, learn_from: Column | None = None, smoothing: float = 0.5, model_langs: int = MODEL_LANGS
+) -> Iterator[LanguageModel]:
+    """Learn from every document whose ``lang`` and ``text`` are known and for which ``learn_from`` holds.
+
+    Models of at most ``model_langs`` languages each, in the order of the languages; the driver makes one at a time.
+    """
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
     if learn_from is not None:
         usable = usable & learn_from
-    counted = (
+    counted = stored(
         docs.filter(usable)
         .select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
         .mapInPandas(count_grams, "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .cache()
+        .agg(F.sum("n").alias("n")),
+        "language-grams",
     )
-    try:
-        kinds = counted.filter("bucket = -1").count()
-        if kinds * (BUCKETS + 1) * 4 > MODEL_BYTES:
-            raise ValueError(f"{kinds} distinct lang values need a model above {MODEL_BYTES} bytes")
-        found = counted.toPandas()
-    finally:
-        counted.unpersist()
-    langs = sorted(found["lang"].unique().tolist())
-    counts, documents = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
-    column = found["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=np.int64)
-    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
-    grams = bucket >= 0
-    counts[bucket[grams], column[grams]] = n[grams]
-    documents[column[~grams]] = n[~grams]
-    log_prob = np.zeros((BUCKETS + 1, len(langs)), np.float32)
-    if langs:
+    known = sorted((r["lang"], r["n"]) for r in counted.filter("bucket = -1").collect())
+    everything = sum(n for _, n in known)
+    for at in range(0, len(known), model_langs):
+        langs = [lang for lang, _ in known[at : at + model_langs]]
+        found = counted.filter(F.col("lang").between(langs[0], langs[-1]) & (F.col("bucket") >= 0)).toPandas()
+        column = found["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=np.int64)
+        counts = np.zeros((BUCKETS, len(langs)))
+        counts[found["bucket"].to_numpy(dtype=np.int64), column] = found["n"]
+        log_prob = np.zeros((BUCKETS + 1, len(langs)), np.float32)
         log_prob[:-1] = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * BUCKETS))
-    return LanguageModel(langs, np.log(documents / max(documents.sum(), 1)), log_prob)
+        documents = np.array([n for _, n in known[at : at + model_langs]], float)
+        yield LanguageModel(langs, np.log(documents / everything), log_prob)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """A column ``struct<lang_pred: string, score: double>``; any other columns stay as they are."""
+def language_scores(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
+    """A column ``struct<lang: string, top: double, mass: double>``, see ``LanguageModel.predict``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, top double, mass double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": scores})
+        return shared.value.predict([t if isinstance(t, str) else None for t in texts])
 
     return predict(docs[text].cast("string"))
 
 
-def identify_languages(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
+def predict_languages(docs: DataFrame, models: Iterator[LanguageModel], text: str = "text") -> DataFrame:
+    """The table with ``lang_pred`` and ``score``, the posterior over the languages of all models.
+
+    From the second model on the best so far is written with the rows, so a task holds one model only.
+    """
+    best = fresh(docs.columns, "_best")
+    new = fresh([*docs.columns, best], "_new")
+    scored = None
+    for model in models:
+        if scored is None:
+            scored = docs.withColumn(best, language_scores(docs, model, text))
+            continue
+        held = stored(scored, "language-best")
+        # Ties stay with the earlier model: its languages sort first.
+        scored = held.withColumn(new, language_scores(held, model, text)).withColumn(best, F.expr(
+            f"CASE WHEN {new}.top > {best}.top THEN named_struct('lang', {new}.lang, 'top', {new}.top, "
+            f"'mass', {new}.mass + {best}.mass * exp({best}.top - {new}.top)) ELSE named_struct('lang', {best}.lang, "
+            f"'top', {best}.top, 'mass', {best}.mass + {new}.mass * exp({new}.top - {best}.top)) END"
+        )).drop(new)
+    if scored is None:
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    return scored.withColumns({
+        "lang_pred": F.coalesce(f"{best}.lang", F.lit(UNKNOWN)),
+        "score": F.when(F.col(f"{best}.lang").isNull(), 0.0).otherwise(1 / F.col(f"{best}.mass")),
+    }).drop(best)
+
+
+def identify_languages(docs: DataFrame, folds: int = 3, fold: int = 1, model_langs: int = MODEL_LANGS) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score``.
 
     Learns from the documents outside the held-out fold. Null or letterless text: ``und``, score 0; nulls
     in ``lang`` or ``doc_id``: the row is predicted but not learned from; no row to learn from: all
     ``und``; repeated rows each get their row; other columns are ignored.
     """
-    model = fit_languages(docs, learnable(F.col("doc_id"), folds, fold))
-    return docs.select(
-        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), predict_language(docs, model).alias("p")
-    ).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    models = fit_languages(docs, learnable(F.col("doc_id"), folds, fold), model_langs=model_langs)
+    asked = docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")
+    return predict_languages(asked, models).select("doc_id", "held_out", "lang_pred", "score")

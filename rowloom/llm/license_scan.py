@@ -206,34 +206,26 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_column: str = "doc_id"
         "doc_id", "n_words",
         F.expr(f"filter(transform(_windows, w -> named_struct('at', w.at, 'label', CASE {base} END)), b -> b.label IS NOT NULL)").alias("_base"),
         F.expr(
-            "flatten(transform(_windows, w -> filter(transform("
+            "filter(transform(_windows, w -> array_distinct(filter(transform("
             f"coalesce(element_at(map_from_arrays(array({keyed}), array({listed})), w.word), array()), r -> named_struct("
             "'start', w.at, 'words', CAST(size(split(regexp_extract(w.text, r.p, 1), ' ')) AS BIGINT), "
-            "'label', r.label, 'priority', r.priority, 'hit', regexp_extract(w.text, r.p, 1) != '')), m -> m.hit)))"
-        ).alias("_all"),
+            "'label', r.label, 'priority', r.priority, 'hit', regexp_extract(w.text, r.p, 1) != '')), m -> m.hit))), h -> size(h) > 0)"
+        ).alias("_hits"),
     )
-    # By start, longest first, then priority and label: what contains a match stands before it.
-    ordered = tried.withColumn(
-        "_all",
-        F.expr(
-            "array_sort(_all, (a, b) -> CASE WHEN a.start != b.start THEN IF(a.start < b.start, -1, 1) "
-            "WHEN a.words != b.words THEN IF(a.words > b.words, -1, 1) "
-            "WHEN a.priority != b.priority THEN IF(a.priority > b.priority, -1, 1) "
-            "WHEN a.label != b.label THEN IF(a.label < b.label, -1, 1) ELSE 0 END)"
-        ),
-    )
-    reach = ", ".join(f"'e{p}', 0L" for p in CONFIDENCE)
-    grown = ", ".join(f"'e{p}', IF(m.priority >= {p}, greatest(s.e{p}, m.start + m.words), s.e{p})" for p in CONFIDENCE)
-    inside = " ".join(f"WHEN m.priority = {p} THEN m.start + m.words <= s.e{p}" for p in CONFIDENCE)
-    kept_type = "array<struct<start: bigint, words: bigint, label: string, priority: int>>"
-    return ordered.select(
+    # What contains a match starts at most a window before it: only the places just before are looked at.
+    before = f"slice(_hits, greatest(j + 2 - {WINDOW}, 1), least(j + 1, {WINDOW}))"
+    stronger = "c.priority >= m.priority AND c.start + c.words >= m.start + m.words"
+    first = "(c.start < m.start OR c.words > m.words OR c.priority > m.priority OR c.label < m.label)"
+    return tried.select(
         "doc_id", "n_words",
         F.expr("transform(_base, b -> b.at)").alias("base_at"),
         F.expr("array_sort(array_distinct(transform(_base, b -> b.label)))").alias("base_labels"),
         F.expr(
-            f"aggregate(_all, named_struct({reach}, 'kept', CAST(array() AS {kept_type})), (s, m) -> named_struct({grown}, "
-            f"'kept', IF(CASE {inside} ELSE false END, s.kept, array_append(s.kept, named_struct('start', m.start, "
-            "'words', m.words, 'label', m.label, 'priority', m.priority)))), s -> s.kept)"
+            f"flatten(transform(_hits, (h, j) -> transform(array_sort(filter(h, m -> NOT exists({before}, e -> exists(e, c -> "
+            f"{stronger} AND {first}))), (a, b) -> CASE WHEN a.words != b.words THEN IF(a.words > b.words, -1, 1) "
+            "WHEN a.priority != b.priority THEN IF(a.priority > b.priority, -1, 1) "
+            "WHEN a.label != b.label THEN IF(a.label < b.label, -1, 1) ELSE 0 END), "
+            "m -> named_struct('start', m.start, 'words', m.words, 'label', m.label, 'priority', m.priority))))"
         ).alias("found"),
     )
 

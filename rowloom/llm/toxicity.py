@@ -1,15 +1,16 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
 The lexicon holds whole words and word beginnings whose document frequencies differ between the
-labelled classes, weighted by their log odds. Folding undoes look-alike letters and digits. A
-logistic curve over length-normalised features turns matches into a probability.
+labelled classes, weighted by their log odds. Exception phrases are word pairs around an entry that clean
+documents hold more often than toxic ones. Folding undoes look-alike letters and digits. A logistic curve
+over length-normalised features turns matches into a probability.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Container, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import held_out, labelled_sample
+from rowloom.llm.common import held_out, labelled_sample, labelled_texts
 
 # Look-alikes of Latin letters in the Cyrillic and Greek alphabets, and digits used as letters.
 HOMOGLYPHS = {
@@ -30,14 +31,9 @@ HOMOGLYPHS = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
-#: Phrases in which a listed word is harmless; a match inside one doesn't count.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "class clown", "circus clown", "clown fish", "pond scum")
-
 STEM_LENGTHS = (4, 5)
 #: Labelled documents to learn from, at most about this many.
 LABEL_ROWS = 200_000
-#: Entries of the lexicon, at most; the heaviest stay. It is broadcast.
-LEXICON_ENTRIES = 20_000
 FLUSH_CANDIDATES = 400_000
 THRESHOLD = 0.5
 
@@ -65,25 +61,47 @@ def candidates(folded: str) -> set[str]:
     return found
 
 
-def count_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial document frequencies of candidates per class; the entry '' counts documents."""
-    held = (Counter(), Counter())
+def count_by_class(found_in: Callable[[str], set[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for ``mapInPandas``: partial document frequencies per class of what is found in a folded text."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = (Counter(), Counter())
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for label, counter in enumerate(held):
+                yield pd.DataFrame({
+                    "entry": pd.Series(list(counter), dtype=object), "toxic": np.int32(label),
+                    "n": np.fromiter(counter.values(), np.int64, len(counter)),
+                })
+                counter.clear()
+
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                held[label].update(found_in(fold(text)))
+                if len(held[0]) + len(held[1]) > FLUSH_CANDIDATES:
+                    yield from flush()
+        yield from flush()
+
+    return count
 
-    def flush() -> Iterator[pd.DataFrame]:
-        for label, counter in enumerate(held):
-            yield pd.DataFrame({
-                "entry": pd.Series(list(counter), dtype=object), "toxic": np.int32(label),
-                "n": np.fromiter(counter.values(), np.int64, len(counter)),
-            })
-            counter.clear()
 
-    for batch in batches:
-        for text, label in zip(batch["text"], batch["label"], strict=True):
-            held[label].update(candidates(fold(text)) if isinstance(text, str) else ())
-            held[label][""] += 1
-            if len(held[0]) + len(held[1]) > FLUSH_CANDIDATES:
-                yield from flush()
-    yield from flush()
+def pairs_around(folded: str, lexicon: Container[str]) -> set[str]:
+    """Pairs of neighbouring words of which at least one holds an entry, as ``' word word '``."""
+    words = folded.split()
+    listed = [
+        f" {w} " in lexicon or any(f" {w[:k]}" in lexicon for k in STEM_LENGTHS if len(w) > k) for w in words
+    ]
+    return {f" {words[i]} {words[i + 1]} " for i in range(len(words) - 1) if listed[i] or listed[i + 1]}
+
+
+def class_counts(rows: DataFrame, found_in: Callable[[str], set[str]]) -> DataFrame:
+    """``entry, a, b``: how many toxic and how many clean documents hold the entry."""
+    return (
+        rows.mapInPandas(count_by_class(found_in), "entry string, toxic int, n bigint")
+        .groupBy("entry")
+        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
+             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    )
 
 
 @dataclass(frozen=True)
@@ -159,36 +177,37 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, rou
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, folds: int = 5, fold_out: int = 0, bound: int = LABEL_ROWS,
-    min_docs: int = 3, min_log_odds: float = 4.0, exceptions: Sequence[str] = EXCEPTIONS,
+    min_docs: int = 3, min_log_odds: float = 3.0, exceptions: Sequence[str] = (), exception_log_odds: float = 1.0,
 ) -> ToxicityModel:
-    """Learn lexicon and curve from about ``bound`` labelled documents outside the held-out fold.
+    """Learn lexicon, exception phrases and curve from about ``bound`` labelled documents outside the held-out fold.
 
-    An entry needs ``min_docs`` toxic documents and ``min_log_odds``. Without toxic and clean documents to
-    learn from, every score is 0.
+    An entry needs ``min_docs`` toxic documents and ``min_log_odds``; an exception phrase ``min_docs`` clean
+    documents and ``exception_log_odds`` for clean. ``exceptions`` adds phrases. An id with several
+    texts teaches by the least of them. Without toxic and clean documents to learn from, every score is 0.
     """
     spark = docs.sparkSession
-    chosen = labelled_sample(labels, "toxic", folds, fold_out, bound)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").select("text", "label")
-    counted = (
-        rows.mapInPandas(count_candidates, "entry string, toxic int, n bigint")
-        .groupBy("entry")
-        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
-             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-        .filter((F.col("a") >= min_docs) & ((F.col("entry") == "") | (F.col("a") > F.col("b"))))
-        .orderBy(F.desc(F.col("entry") == ""), F.desc(F.col("a") / (F.col("b") + 0.5)), F.desc("a"), "entry")
-        .limit(LEXICON_ENTRIES + 1)
+    rows = labelled_texts(docs, labelled_sample(labels, "toxic", folds, fold_out, bound)).select("text", "label")
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = totals.get(1, 0), totals.get(0, 0)
+    if not toxic or not clean:
+        return ToxicityModel({}, tuple(exceptions), ())
+    log_odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
+    entries = (
+        class_counts(rows, candidates)
+        .select("entry", "a", log_odds.alias("weight"))
+        .filter((F.col("a") >= min_docs) & (F.col("weight") >= min_log_odds))
         .toPandas()
     )
-    totals = counted[counted["entry"] == ""]
-    if totals.empty or not int(totals["b"].iloc[0]):
-        return ToxicityModel({}, tuple(exceptions), ())
-    toxic, clean = float(totals["a"].iloc[0]), float(totals["b"].iloc[0])
-    entries = counted[counted["entry"] != ""]
-    a, b = entries["a"].to_numpy(float), entries["b"].to_numpy(float)
-    weight = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-    lexicon = {e: float(w) for e, w in zip(entries["entry"], weight, strict=True) if w >= min_log_odds}
-    shared = spark.sparkContext.broadcast(ToxicityModel(lexicon, tuple(exceptions), ()))
+    lexicon = dict(zip(entries["entry"], entries["weight"].tolist(), strict=True))
+    listed = spark.sparkContext.broadcast(frozenset(lexicon))
+    harmless = (
+        class_counts(rows, lambda folded: pairs_around(folded, listed.value))
+        .filter((F.col("b") >= min_docs) & (log_odds <= -exception_log_odds))
+        .select("entry")
+        .toPandas()
+    )
+    phrases = (*exceptions, *sorted(harmless["entry"]))
+    shared = spark.sparkContext.broadcast(ToxicityModel(lexicon, phrases, ()))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,7 +216,7 @@ def fit_toxicity(
 
     known = rows.mapInPandas(measure, "w double, hits double, dense double, size double, label int").toPandas()
     curve = fit_curve(known[["w", "hits", "dense", "size"]].to_numpy(), known["label"].to_numpy(float))
-    return ToxicityModel(lexicon, tuple(exceptions), tuple(curve.tolist()))
+    return ToxicityModel(lexicon, phrases, tuple(curve.tolist()))
 
 
 def toxicity_score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
@@ -226,6 +245,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold_out:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score stays below the threshold, with all their columns."""
+    """The documents whose score stays below the threshold, with all their columns.
+
+    Null and empty texts score as texts without a hit; null ids are judged but teach nothing; repeated rows are
+    judged alike; an empty table stays empty; without usable labels every document stays.
+    """
     model = fit_toxicity(docs, labels)
     return docs.filter(toxicity_score(docs, model) < threshold)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -66,6 +67,41 @@ def test_detections(spark):
     assert (row.n_words, row.n_base, row.first_word, row.last_word) == (50_009, 3, 50_000, 50_006)
 
 
+def detections(text):
+    """All matches of all rules, without those that one of at least their priority contains."""
+    words = re.findall(L.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    found = set()
+    for i, first in enumerate(words):
+        for word, pattern, label, priority in L.rules():
+            if word == first:
+                hit = re.match(f"({pattern})(?: |$)", " ".join(words[i : i + L.WINDOW]))
+                if hit:
+                    found.add((i, -len(hit[1].split(" ")), -priority, label))
+    ordered = sorted(found)
+    return [
+        (i, -n, label) for at, (i, n, p, label) in enumerate(ordered)
+        if not any(p2 <= p and j - m >= i - n for j, m, p2, _ in ordered[:at])
+    ]
+
+
+def test_detections_as_brute_force(spark):
+    draw = random.Random(6)
+    rules = [re.sub(r"[()\[\]?]", "", pattern) for _, pattern, _, _ in L.rules()]
+    bits = ["licensed under the", "MIT License", "apache", "version 2.0", "GNU General Public License", "or", "BSD-3-Clause", "license", "cc by", "nc", "and", "é"]
+    rows = [(i, " ".join(draw.choice(rules if draw.random() < 0.4 else bits) for _ in range(draw.randint(1, 8)))) for i in range(60)]
+    got = {r.doc_id: [(m.start, m.words, m.label) for m in r.found] for r in L.scan_licenses(documents(spark, rows)).collect()}
+    assert got == {i: detections(t) for i, t in rows}
+    assert sum(map(len, got.values())) > 60
+
+
+def test_fifty_thousand_mentions(spark):
+    text = "licensed under the MIT License and the GPL. " * 50_000
+    started = time.monotonic()
+    row = L.license_digest(documents(spark, [(1, text)])).first()
+    assert (row.n_words, row.labels, row.score) == (400_000, "gpl,mit", 0.98)
+    assert time.monotonic() - started < 90
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 

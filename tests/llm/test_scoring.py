@@ -2,6 +2,7 @@
 
 import base64
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from helpers import FOLDER, collected, documents
 from pyspark.sql import functions as F
 
 from rowloom.llm import langid, quality, token_count, toxicity
-from rowloom.llm.common import held_out, pieces
+from rowloom.llm.common import held_out, labelled_texts, pieces
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -44,8 +45,6 @@ def accuracy(scored, labels, label):
 
 
 def test_held_out_follows_crc32(spark):
-    import zlib
-
     got = spark.range(200).select("id", held_out(F.col("id"), 5, 0).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
 
@@ -86,6 +85,52 @@ def test_folding_and_exceptions():
     assert model.features(text)[2] == pytest.approx(25 / 25**0.5)
 
 
+def test_exception_phrases_are_learned(spark):
+    draw = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "su", "ti", "vo")]
+    rows, labels = [], []
+    for i in range(400):
+        text, toxic = [draw.choice(words) for _ in range(20)], i % 4 == 0
+        if toxic:
+            text[3:3] = ["blight"] if i % 8 else ["zounds"]
+        elif i % 40 == 1:
+            text[5:5] = ["garden", "blight"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.fit_toxicity(documents(spark, rows), spark.createDataFrame(labels, LABELS), min_log_odds=1.5)
+    assert " blight " in model.lexicon and " garden blight " in model.exceptions
+    assert not any(p.startswith(" blight ") or "zounds" in p for p in model.exceptions)
+    assert model.features("kara garden blight losu")[:2] == (0.0, 0.0)
+    assert model.features("kara blight losu")[1] == 1.0
+    low, high = model.score(["kara garden blight losu", "kara blight losu"])
+    assert low < 0.5 < high
+
+
+def test_pairs_around_entries():
+    assert toxicity.pairs_around(" a trash can b ", {" trash "}) == {" a trash ", " trash can "}
+    assert toxicity.pairs_around(" a trashy can ", {" tras"}) == {" a trashy ", " trashy can "}
+    assert toxicity.pairs_around(" tras ", {" tras"}) == set() == toxicity.pairs_around("  ", {" tras"})
+
+
+def test_lexicon_has_no_limit(spark):
+    many = [f"w{i}" for i in range(21_000)]
+    rows = [(i, " ".join(many)) for i in range(4)] + [(i, "plain words") for i in range(4, 400)]
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(400)], LABELS)
+    model = toxicity.fit_toxicity(documents(spark, rows), labels, folds=1_000_003, min_docs=2)
+    assert sum(e.endswith(" ") for e in model.lexicon) == 21_000
+
+
+def test_an_id_teaches_once(spark):
+    docs, labels = labelled(spark, 60)
+    again = docs.filter("doc_id < 3")
+    for _ in range(5):
+        again = again.unionByName(again)
+    other = documents(spark, [(1, "~ greater than the others"), (2, None)])
+    chosen = labels.select("doc_id", F.col("toxic").alias("label"))
+    got = sorted(collected(labelled_texts(docs.unionByName(again).unionByName(other), chosen).select("doc_id", "text")))
+    assert got == sorted(collected(docs.select("doc_id", "text")))
+
+
 def test_automaton_finds_what_brute_force_finds():
     draw = random.Random(2)
     lexicon = {f" {''.join(draw.choice('abc') for _ in range(draw.randint(1, 3)))}{' ' * draw.randint(0, 1)}": float(draw.randint(1, 9)) for _ in range(12)}
@@ -144,6 +189,45 @@ def test_languages_of_the_given_tables(given):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
+def test_languages_in_several_models(spark, given):
+    docs, _ = given
+    docs = docs.withColumn("lang", F.concat("lang", F.lit("-"), (F.col("doc_id") % 3).cast("string")))
+    docs = docs.unionByName(documents(spark, [(None, "the words"), (90_001, None), (90_002, "12 !")]))
+    whole = sorted(collected(langid.identify_languages(docs)), key=str)
+    parts = sorted(collected(langid.identify_languages(docs, model_langs=4)), key=str)
+    assert len({r[2] for r in whole}) > 4
+    assert [r[:3] for r in whole] == [r[:3] for r in parts]
+    assert np.allclose([r[3] for r in whole], [r[3] for r in parts])
+
+
+def test_naive_bayes_as_brute_force(given):
+    docs, _ = given
+    rows = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL").limit(60).collect()
+    counts, kinds = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+
+    def grams(text):
+        return [int(b) for buckets, _ in langid.gram_buckets([text or ""]) for b in buckets if b < langid.BUCKETS]
+
+    for r in rows:
+        if not zlib.crc32(str(r.doc_id).encode()) % 3 == 1:
+            kinds[r.lang] += 1
+            for b in grams(r.text):
+                counts[r.lang][b] += 1
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    few = docs.filter(F.col("doc_id").isin([r.doc_id for r in rows]))
+    got = {r.doc_id: r for r in langid.identify_languages(few).collect()}
+    for r in rows:
+        seen = grams(r.text)
+        joint = {
+            lang: (np.log(kinds[lang] / sum(kinds.values())) + sum(
+                np.log((counts[lang][b] + 0.5) / (totals[lang] + 0.5 * langid.BUCKETS)) for b in seen
+            )) / max(1, len(seen)) ** 0.5 for lang in sorted(kinds)
+        }
+        best = max(joint, key=joint.get)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 / sum(np.exp(j - joint[best]) for j in joint.values()), abs=1e-3)
+
+
 def test_language_grams_as_brute_force():
     text = "Été! no1 x"
     seen = [[], [], []]
