@@ -206,10 +206,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_column: str = "doc_id"
         "doc_id", "n_words",
         F.expr(f"filter(transform(_windows, w -> named_struct('at', w.at, 'label', CASE {base} END)), b -> b.label IS NOT NULL)").alias("_base"),
         F.expr(
-            "filter(transform(_windows, w -> array_distinct(filter(transform("
+            "filter(transform(_windows, w -> array_distinct(transform(filter(transform("
             f"coalesce(element_at(map_from_arrays(array({keyed}), array({listed})), w.word), array()), r -> named_struct("
-            "'start', w.at, 'words', CAST(size(split(regexp_extract(w.text, r.p, 1), ' ')) AS BIGINT), "
-            "'label', r.label, 'priority', r.priority, 'hit', regexp_extract(w.text, r.p, 1) != '')), m -> m.hit))), h -> size(h) > 0)"
+            "'label', r.label, 'priority', r.priority, 'hit', regexp_extract(w.text, r.p, 1))), t -> t.hit != ''), t -> named_struct("
+            "'start', w.at, 'words', CAST(size(split(t.hit, ' ')) AS BIGINT), 'label', t.label, 'priority', t.priority)))), h -> size(h) > 0)"
         ).alias("_hits"),
     )
     # What contains a match starts at most a window before it: only the places just before are looked at.
@@ -221,11 +221,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_column: str = "doc_id"
         F.expr("transform(_base, b -> b.at)").alias("base_at"),
         F.expr("array_sort(array_distinct(transform(_base, b -> b.label)))").alias("base_labels"),
         F.expr(
-            f"flatten(transform(_hits, (h, j) -> transform(array_sort(filter(h, m -> NOT exists({before}, e -> exists(e, c -> "
+            f"flatten(transform(_hits, (h, j) -> array_sort(filter(h, m -> NOT exists({before}, e -> exists(e, c -> "
             f"{stronger} AND {first}))), (a, b) -> CASE WHEN a.words != b.words THEN IF(a.words > b.words, -1, 1) "
             "WHEN a.priority != b.priority THEN IF(a.priority > b.priority, -1, 1) "
-            "WHEN a.label != b.label THEN IF(a.label < b.label, -1, 1) ELSE 0 END), "
-            "m -> named_struct('start', m.start, 'words', m.words, 'label', m.label, 'priority', m.priority))))"
+            "WHEN a.label != b.label THEN IF(a.label < b.label, -1, 1) ELSE 0 END)))"
         ).alias("found"),
     )
 
