@@ -20,16 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import WordHashes, fresh, mix, shingle_hashes, stored
+from rowloom.plans.joins import lookup, without_match
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 PERCENT = 80
+#: Texts of a chunk and of a token range; from ``BLOCK_SIDES`` chunks on both grow with the corpus, up to ``GROWN`` times.
 CHUNK_CHARS = 8_000_000
 RANGE_CHARS = 8_000_000
+BLOCK_SIDES, GROWN = 4_096, 8
+#: Rows of a token that meet the others of it in one task.
+SLICE_ROWS = 1_000
+#: Copies of a row that are written out by one step.
+REPEAT_ROWS = 10_000
 #: Rounds in which the members of a group that is still apart meet one member only, before all of them meet.
 STAR_ROUNDS = 3
 ORDER_A, ORDER_B, ORDER_C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -111,7 +118,7 @@ def count_range(announced: pd.DataFrame) -> pd.DataFrame:
 
 
 SELECTED = (
-    "doc_id bigint, n bigint, set1 bigint, set2 bigint, tokens binary, alone bigint, weight double, "
+    "doc_id bigint, n bigint, copies bigint, set1 bigint, set2 bigint, tokens binary, alone bigint, weight double, "
     "prefix_a array<bigint>, prefix_b binary"
 )
 
@@ -129,11 +136,11 @@ def select(bits: int, chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
     counts = np.concatenate([np.frombuffer(c, "<u2") for c in back["counts"]] + [np.zeros(0, np.uint16)])
     rows, carried = [], set()
     chunk = chunk.sort_values("doc_id", kind="stable")
-    for doc_id, text in zip(chunk["doc_id"].tolist(), chunk["text"], strict=True):
+    for doc_id, text, copies in zip(chunk["doc_id"].tolist(), chunk["text"], chunk["copies"].tolist(), strict=True):
         known = not pd.isna(doc_id)
         mine = shingle_set(text if isinstance(text, str) else None)
         n = len(mine)
-        row = [int(doc_id) if known else None, n] + [None] * 7
+        row = [int(doc_id) if known else None, n, copies] + [None] * 7
         rows.append(row)
         if not known or not n or not len(keys):
             continue
@@ -143,16 +150,16 @@ def select(bits: int, chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         alone = n - int(shared.sum())
         if n - alone < needed(n):
             continue
-        row[2:4] = _signed(mix(mine + SET_1).sum(dtype=np.uint64)), _signed(mix(mine + SET_2).sum(dtype=np.uint64))
-        if (row[2], row[3]) in carried:
+        row[3:5] = _signed(mix(mine + SET_1).sum(dtype=np.uint64)), _signed(mix(mine + SET_2).sum(dtype=np.uint64))
+        if (row[3], row[4]) in carried:
             continue
-        carried.add((row[2], row[3]))
+        carried.add((row[3], row[4]))
         tokens, often = mine[shared], counts[at[shared]]
         length = n - needed(n) + 1 - alone
         a, b = (tokens[np.lexsort((mix(tokens ^ order), often))[:length]] for order in (ORDER_A, ORDER_B))
-        row[4:] = mine.tobytes(), alone, (alone + int(often.sum(dtype=np.int64))) / n, a.view(np.int64), b.tobytes()
-    made = pd.DataFrame(rows, columns=["doc_id", "n", "set1", "set2", "tokens", "alone", "weight", "prefix_a", "prefix_b"], dtype=object)
-    return made.astype({c: "Int64" for c in ("doc_id", "n", "set1", "set2", "alone")} | {"weight": "Float64"})
+        row[5:] = mine.tobytes(), alone, (alone + int(often.sum(dtype=np.int64))) / n, a.view(np.int64), b.tobytes()
+    made = pd.DataFrame(rows, columns=["doc_id", "n", "copies", "set1", "set2", "tokens", "alone", "weight", "prefix_a", "prefix_b"], dtype=object)
+    return made.astype({c: "Int64" for c in ("doc_id", "n", "copies", "set1", "set2", "alone")} | {"weight": "Float64"})
 
 
 def _signed(x: np.uint64) -> int:
@@ -199,6 +206,37 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = fresh_labels.select("node", "comp")
 
 
+def rows_once(read: DataFrame) -> tuple[DataFrame, bool]:
+    """Each row of ``doc_id, text`` once, with how often it stands in the table as ``copies``, and whether any does twice.
+
+    Rows are counted by a hash, so that only repeated ones travel with their texts, and those pre-aggregated.
+    """
+    marked = read.withColumn("_digest", F.xxhash64("doc_id", "text"))
+    counted = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = stored(counted.filter("_rows > 1").select("_digest"), "repeated")
+    if not repeated.limit(1).count():
+        return read.withColumn("copies", F.lit(1).cast("bigint")), False
+    once = without_match(marked, repeated, ["_digest"]).select("doc_id", "text", F.lit(1).cast("bigint").alias("copies"))
+    often = lookup(marked, repeated, ["_digest"], "inner").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return once.unionByName(often), True
+
+
+def repeat_rows(df: DataFrame) -> DataFrame:
+    """Each row ``copies`` times, in steps of bounded size."""
+    steps = F.explode(F.expr(f"sequence(0L, (copies - 1) DIV {REPEAT_ROWS})"))
+    turns = F.explode(F.expr(f"sequence(1L, least({REPEAT_ROWS}L, copies - _step * {REPEAT_ROWS}))"))
+    return df.withColumn("_step", steps).withColumn("_turn", turns).drop("_step", "_turn", "copies")
+
+
+def all_within(placed: DataFrame, other: list[Column]) -> DataFrame:
+    """Every two nodes of a token; those of a token with many rows are dealt to several tasks."""
+    slices = placed.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
+    sliced = stored(lookup(placed, slices, ["token"], "inner"), "sliced")
+    mine = sliced.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).drop("slices")
+    others = sliced.select("token", *other, F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"))
+    return mine.join(others, ["token", "slice"]).filter("node < h_node")
+
+
 def join_similar(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``, the least id reachable over links.
 
@@ -210,9 +248,12 @@ def join_similar(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = read.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-chars // CHUNK_CHARS))
-    bits = max(0, (max(1, -(-chars // RANGE_CHARS)) - 1).bit_length())
-    dealt = read.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition("chunk")
+    # Blocks are chunks times ranges; larger ones keep their number from growing with the square of the corpus.
+    grown = min(GROWN, max(1, chars // (BLOCK_SIDES * CHUNK_CHARS)))
+    chunks = max(1, -(-chars // (CHUNK_CHARS * grown)))
+    bits = max(0, (max(1, -(-chars // (RANGE_CHARS * grown))) - 1).bit_length())
+    rows, repeats = rows_once(read)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition("chunk")
     announced = dealt.groupBy("chunk").applyInPandas(
         lambda chunk: announce(bits, chunk), "range int, chunk int, tokens binary, counts binary"
     )
@@ -239,7 +280,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
 
     comp = classes.select("node", F.col("node").alias("comp")).distinct()
     # An id with several texts ties their nodes together.
-    member = found.select("doc_id", "set1", "set2").join(classes, ["set1", "set2"]).select("doc_id", "node").distinct()
+    member = lookup(found.select("doc_id", "set1", "set2"), classes, ["set1", "set2"], "inner").select("doc_id", "node").distinct()
     several = member.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("_most")).filter("x != _most")
     ties = stored(member.join(several, "doc_id").filter("node != x").select("x", F.col("node").alias("y")), "ties")
     placed = grams.withColumn("comp", F.col("node"))
@@ -254,11 +295,12 @@ def join_similar(docs: DataFrame) -> DataFrame:
             # The member nearest to the middle of its group that hasn't been the group's hub.
             free = placed if not turn else placed.join(hubs, "node", "left_anti")
             hub = free.groupBy("token").agg(F.max(F.struct("weight", "node", "n", "left", "comp")).alias("hub")).select("token", "hub.*")
-            met = placed.join(hub.select("token", *other), "token")
+            hub = stored(hub, "hubs")
+            met = lookup(placed, hub.select("token", *other), ["token"], "inner")
             if turn + 1 < STAR_ROUNDS:
-                hubs = hubs.union(stored(hub.select("node").distinct(), "hubs"))
+                hubs = hubs.union(hub.select("node").distinct())
         else:
-            met = placed.join(placed.select("token", *other), "token").filter("node < h_node")
+            met = all_within(placed, other)
         pairs = met.filter(
             f"comp != h_comp AND 100 * least(n, h_n) >= {PERCENT} * greatest(n, h_n)"
             f" AND {100 + PERCENT} * least(left, h_left) >= {PERCENT} * (n + h_n)"
@@ -271,9 +313,16 @@ def join_similar(docs: DataFrame) -> DataFrame:
             # Only groups that are still apart go on.
             again = placed.drop("comp").join(comp, "node")
             apart = again.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least != most")
-            placed = stored(again.join(apart, "token", "left_semi"), "apart")
-    of_set = classes.join(comp, "node").select("set1", "set2", "comp")
-    linked = selected.select("doc_id", "n", "set1", "set2").join(of_set, ["set1", "set2"], "left")
+            placed = stored(lookup(again, stored(apart.select("token"), "apart-tokens"), ["token"], "inner"), "apart")
+    of_set = stored(classes.join(comp, "node").select("set1", "set2", "comp"), "sets")
+    # Documents without a similar one have no set hashes: they are set aside, and sets of many documents split.
+    alone, shared = selected.filter("set1 IS NULL"), selected.filter("set1 IS NOT NULL")
+    linked = lookup(shared.select("doc_id", "n", "copies", "set1", "set2"), of_set, ["set1", "set2"])
+    linked = linked.select("doc_id", "n", "copies", "comp").unionByName(
+        alone.select("doc_id", "n", "copies", F.lit(None).cast("bigint").alias("comp"))
+    )
+    if repeats:
+        linked = repeat_rows(linked)
     shown = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     again = selected.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1")
     if not again.limit(1).count():

@@ -87,6 +87,27 @@ def test_defined_cases(spark):
     assert collected(N.join_similar(documents(spark, []))) == []
 
 
+def test_rows_without_id_and_repeated_rows_in_many(spark, monkeypatch):
+    """A third of the rows has no id, a third is one row, nothing is broadcast and every slice is short."""
+    monkeypatch.setattr(N, "SLICE_ROWS", 3)
+    monkeypatch.setattr(N, "REPEAT_ROWS", 100)
+    monkeypatch.setattr("rowloom.plans.joins.is_small", lambda df: False)
+    rows = made(3, 60)
+    more = [(None, None)] * 350 + [(None, "a b c d e f g h")] * 350 + [rows[5]] * 650
+    got = collected(N.join_similar(documents(spark, rows + more).repartition(7)))
+    expect = brute(rows)
+    mine = next(r for r in expect if r[0] == rows[5][0])
+    assert sorted(got, key=str) == sorted(expect + [(None, 0, None)] * 350 + [(None, 4, None)] * 350 + [mine] * 650, key=str)
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK_CHARS", 500)
+    monkeypatch.setattr(N, "RANGE_CHARS", 500)
+    monkeypatch.setattr(N, "BLOCK_SIDES", 4)
+    rows = made(4, 80)
+    assert sorted(collected(N.join_similar(documents(spark, rows)))) == brute(rows)
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "other words are here now"), (None, "a b c d e f"), (None, None)]
     kept = N.keep_one(documents(spark, rows, clashing=True))
