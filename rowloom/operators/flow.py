@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import rng
+from rowloom.functions.text import as_text
 from rowloom.operators.anomalies import inject_anomalies
 from rowloom.operators.change_tags import tag_cdc
 from rowloom.operators.drift import DriftEvent, apply_drift, plan_drift, renamed_keys
@@ -71,6 +72,22 @@ class Flow:
             for n, df in tables.items()
         ])
 
+    def rows(self, keys: Mapping[str, str]) -> DataFrame:
+        """Every row of every stage as ``table_name, stage, row_key, cells``; ``keys`` are those of the source tables.
+
+        Cells are rendered as raw text, joined by ``|`` in the order of the columns; a null is ``-``.
+        """
+        made = []
+        for stage, tables in self.stages.items():
+            for n, df in tables.items():
+                key = keys[n] if stage == "source" else self.keys[n]
+                cells = [F.coalesce(as_text(F.col(f"`{f.name}`"), f.dataType), F.lit("-")) for f in df.schema.fields if f.name != key]
+                made.append(df.select(
+                    F.lit(n).alias("table_name"), F.lit(stage).alias("stage"), F.col(f"`{key}`").alias("row_key"),
+                    F.concat_ws("|", *cells).alias("cells"),
+                ))
+        return union_all(made)
+
     def report(self, stage: str, rules: Sequence[BusinessRule] = ()) -> DataFrame:
         """Row checks of a stage, each table read once."""
         return union_all([table_report(df, n, rules, operation="op_type") for n, df in self.stages[stage].items()])

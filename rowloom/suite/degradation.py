@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import rng
 from rowloom.functions.rng import salts
 from rowloom.operators import anomalies, change_tags, drift, flow, layers, messiness
+from rowloom.operators.privacy import mask_for
 from rowloom.operators.profile import row_counts
 from rowloom.operators.selection import exact_share
 from rowloom.suite import duck
@@ -463,3 +464,96 @@ FLOW = flow.FlowSettings(SEED, anomalies=anomalies.effective_ratio(0.02, "chaoti
 def run_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     orders = {"orders": table(spark, folder, "orders")}
     return flow.run_flow(orders, {"orders": KEY}, FLOW, {"orders": {"o_orderpriority": "name"}}).row_counts()
+
+
+# The same with cells: drift of this seed renames the key of orders and a number of customers
+
+ROWS_FLOW = flow.FlowSettings(136, anomalies=anomalies.effective_ratio(0.02, "chaotic"))
+SENSITIVE = {"orders": {"o_orderpriority": "name"}, "customer": {"c_name": "name"}}
+RENAMED = {"o_orderkey": "o_orderkey_renamed", "c_acctbal": "c_acctbal_renamed"}
+FLOW_STAGES = ("source", "bronze", "silver", "gold", "shared")
+
+
+def flow_sql(name: str, key: str) -> str:
+    """Rows of every stage of one table: ``table_name, stage, row_key, cells``."""
+    seed, types = ROWS_FLOW.seed, TABLES[name]
+    source = [c for c in types if c != key]
+    data = [RENAMED.get(c, c) for c in source]
+    cells = [*data, "created_at", "batch_id", "op_type", "updated_at", "deleted_at"]
+    numbers = [RENAMED.get(c, c) for c in source if types[c] in ("int", "bigint", "double")]
+    row_draw = duck.draw(seed, f"{name}.mess.cells", "k")
+
+    def iso(c: str) -> str:
+        return f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
+
+    def joined(columns: Sequence[str]) -> str:
+        return "concat_ws('|', " + ", ".join(f"coalesce({c}, '-')" for c in columns) + ")"
+
+    def messy(c: str) -> str:
+        flip = salts(0, f"{name}.{c}")[0]
+        mixed = f"((xor({row_draw}, {flip}) * {rng.MIX}) & {rng.LOW32})"
+        cell = f"xor({mixed}, {mixed} >> 16)"
+        coin, half = f"(({cell}) & 1) = 0", f"({cell}) < {1 << 31}"
+        y, m, d = (f"split_part(split_part({c}, 'T', 1), '-', {i})" for i in (1, 2, 3))
+        return f"""CASE
+            WHEN fault = 'whitespace' AND length({c}) > 0 AND {half}
+            THEN CASE WHEN {coin} THEN '  ' || {c} ELSE {c} || chr(9) || ' ' END
+            WHEN fault = 'casing' AND length({c}) > 2 AND ({cell}) < {int(0.4 * 4294967296)}
+            THEN CASE WHEN {coin} THEN lower({c}) ELSE upper({c}) END
+            WHEN fault = 'dates' AND {half} AND regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T|$)')
+            THEN {m} || CASE WHEN {coin} THEN '/' ELSE '-' END || {d} || CASE WHEN {coin} THEN '/' ELSE '-' END || {y}
+            ELSE {c} END AS {c}"""
+
+    def text(c: str) -> str:
+        return iso(c) if types[c] == "timestamp_ntz" else f"{c}::VARCHAR"
+
+    roll, kind = duck.randint(seed, f"{name}.cdc.op", "k", 0, 99), duck.choose(seed, f"{name}.anomaly.kind", "k", anomalies.DEFAULT_TYPES)
+    bands = " ".join(
+        f"WHEN {duck.uniform(seed, f'{name}.mess.kind', 'k')} < {end} THEN '{fault}'" for fault, end in messiness.BANDS["realistic"]
+    )
+    untouched = [*numbers, "batch_id", "op_type"]
+    shaken = ", ".join(c if c in untouched else messy(c) for c in cells)
+    filled = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {i} END" for i, c in enumerate(cells))
+    last = len(cells) - 1
+    damaged = ", ".join(
+        f"""CASE WHEN kind = 'null_field' AND any_at = {i} THEN NULL WHEN kind = 'invalid_enum' AND enum_at = {i} THEN '__INVALID__'
+            WHEN kind = 'empty_string' AND text_at = {i} THEN '' WHEN kind = 'malformed_string' AND text_at = {i} THEN {BROKEN_SQL}
+            ELSE {c} END AS {c}"""
+        for i, c in enumerate(cells)
+    )
+    masked = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {duck.quoted(mask_for(m))} END AS {c}" for c, m in SENSITIVE[name].items())
+    return f"""
+    tagged AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds({seed} + 17 * k) AS made,
+        CASE WHEN {duck.uniform(seed, f'{name}.cdc.row', 'k')} >= {ROWS_FLOW.changed} OR {roll} < 70 THEN 'INSERT'
+        WHEN {roll} < 90 THEN 'UPDATE' ELSE 'DELETE' END AS op_type FROM (SELECT *, {key} AS k FROM {name})),
+    raw AS (SELECT k, {", ".join(f"{text(c)} AS {d}" for c, d in zip(source, data))}, {iso('made')} AS created_at,
+        'batch_{seed}' AS batch_id, op_type,
+        {iso("made + CASE WHEN op_type = 'UPDATE' THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END")} AS updated_at,
+        CASE WHEN op_type = 'DELETE' THEN {iso('made + INTERVAL 3 HOUR')} END AS deleted_at FROM tagged),
+    messy AS (SELECT k, {shaken} FROM (SELECT *, CASE WHEN {duck.uniform(seed, f'{name}.mess.row', 'k')} < 0.15
+        THEN CASE {bands} END END AS fault FROM raw)),
+    hit AS (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY {duck.draw(seed, f'{name}.anomaly.row', 'k')}, k) AS r FROM raw)
+        WHERE r <= greatest(1, floor((SELECT count(*) FROM raw) * {ROWS_FLOW.anomalies}::DOUBLE))),
+    placed AS (SELECT *, filled[1 + (({duck.draw(seed, f'{name}.anomaly.text', 'k')} * len(filled)) >> 32)] AS text_at FROM (
+        SELECT *, CASE WHEN k IN (SELECT k FROM hit) THEN {kind} END AS kind,
+        {duck.randint(seed, f'{name}.anomaly.column', 'k', 0, last)} AS any_at,
+        {duck.randint(seed, f'{name}.anomaly.enum', 'k', 0, last)} AS enum_at,
+        list_filter([{filled}], lambda x: x IS NOT NULL) AS filled FROM messy)),
+    bronze AS (SELECT k, {damaged} FROM placed),
+    silver AS ({clean_sql('bronze', cells)}),
+    gold AS ({gold_sql('silver', cells)}),
+    shared AS (SELECT * REPLACE ({masked}) FROM gold)
+    SELECT '{name}' AS table_name, 'source' AS stage, {key} AS row_key, {joined([text(c) for c in source])} AS cells FROM {name}
+    """ + " ".join(
+        f"UNION ALL SELECT '{name}', '{stage}', k, {joined(cells)} FROM {stage}" for stage in FLOW_STAGES[1:]
+    )
+
+
+@query(
+    "run_pipeline_rows",
+    f"""SELECT * FROM (WITH {flow_sql('orders', 'o_orderkey')})
+    UNION ALL SELECT * FROM (WITH {flow_sql('customer', 'c_custkey')})""",
+)
+def run_pipeline_rows(spark: SparkSession, folder: str) -> DataFrame:
+    keys = {"orders": KEY, "customer": "c_custkey"}
+    return flow.run_flow(tables(spark, folder, *keys), keys, ROWS_FLOW, SENSITIVE).rows(keys)

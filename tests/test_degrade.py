@@ -157,3 +157,17 @@ def test_flow_carries_keys_through_drift(spark):
     assert renamed
     report = {(r.check, r.subject): r for r in made.report("bronze").collect()}
     assert report[("nulls", key)].failing == 0 and report[("operation", "op_type")].total_rows == counts["bronze"]
+
+
+def test_flow_rows_show_cells_of_every_stage(spark):
+    from rowloom.operators.flow import FlowSettings, run_flow
+
+    rows = spark.range(60).selectExpr("id", "concat('name ', id) AS label", "IF(id % 2 = 0, id * 1.5D, NULL) AS amount")
+    settings = FlowSettings(3, drift="none", messiness="clean", changed=0.0, anomalies=0.0)
+    made = run_flow({"t": rows}, {"t": "id"}, settings, {"t": {"label": "name"}}).rows({"t": "id"}).collect()
+    got = {(r.stage, r.row_key): r.cells for r in made}
+    assert len(made) == len(got) == 300 and {r.table_name for r in made} == {"t"}
+    assert got["source", 2] == "name 2|3.0" and got["source", 3] == "name 3|-"
+    tags = "2024-01-01T00:00:54|batch_3|INSERT|2024-01-01T00:00:54|-"
+    assert got["bronze", 3] == got["silver", 3] == got["gold", 3] == f"name 3|-|{tags}"
+    assert got["shared", 3].endswith(f"|-|{tags}") and "name 3" not in got["shared", 3]
