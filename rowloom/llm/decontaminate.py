@@ -305,7 +305,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item, with all their columns.
+
+    Null and empty texts hold none and stay; null ids are judged like others; repeated rows are judged alike; an empty
+    table stays empty; without items of five words or more every document stays.
+    """
     names = docs.columns
     for number, benchmark in enumerate(load_benchmark(items)):
         if number:

@@ -156,7 +156,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies, with their own columns; those of which nothing is left go.
 
-    ``n_chars``, where the table has it, follows the text.
+    ``n_chars``, where the table has it, follows the text. Null and empty texts have no line and stay, as do texts
+    of blanks; null ids come last in order; repeated rows change alike.
     """
     lines, gone = fresh(docs.columns, "n_lines"), fresh(docs.columns, "n_deleted")
     made = dedup_lines(docs, min_words).filter((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
