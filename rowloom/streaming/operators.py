@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StringType, StructField, StructType
 
 from rowloom.operators.events import beyond_allowed, event_windows, sessions
 from rowloom.operators.rules import row_violations
@@ -91,44 +91,64 @@ def observed_late(df: DataFrame, allowed: str, name: str = "late") -> DataFrame:
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def keep_least_in_watermark(df: DataFrame, key: Sequence[str], order: str, time: str, delay: str) -> DataFrame:
+#: Groups that keys are dealt into by hash: calling Python once for every key costs far more than its rows do.
+KEY_GROUPS = 4096
+#: In place of the time of a row without one.
+NO_TIME = -(1 << 62)
+
+
+def keep_least_in_watermark(df: DataFrame, key: Sequence[str], order: str, time: str, delay: str, groups: int = KEY_GROUPS) -> DataFrame:
     """Of every key the row that comes first in an order, whenever it arrives.
 
     State holds the best row of a key so far. A key is settled when the watermark, ``delay`` behind the newest event, passes its
     newest event: then its row comes out and its state goes, so state holds only keys of the last while. A key that is
     seen again after that starts anew. Of equal order values the first that arrived stays; rows without an order value come
     last, rows without an event time never settle a key. Null keys are one key.
+
+    The keys of a group share one state, which a batch with any of them reads and writes whole. ``groups`` has to stay
+    the same for a query that goes on from its checkpoint.
     """
     row, field = "_row", df.schema[order]
-    shown = df.withWatermark(time, delay).select(
-        *key, F.col(time).alias(time), F.col(order).alias("_order"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), EXACT).alias(row)
+    value = F.col(f"`{order}`")
+    if isinstance(field.dataType, IntegralType):
+        # With nulls among them pandas would hold whole numbers as doubles.
+        value = F.coalesce(value, F.lit(0).cast(field.dataType))
+    shown = df.withWatermark(time, delay).withColumn("_key", F.to_json(F.struct(*[F.col(f"`{c}`") for c in key]), EXACT)).select(
+        F.pmod(F.xxhash64("_key"), F.lit(groups)).alias("_group"), "_key", F.col(time).alias(time),
+        F.coalesce(F.unix_millis(F.col(time)), F.lit(NO_TIME)).alias("_ms"), F.col(f"`{order}`").isNotNull().alias("_ordered"),
+        value.alias("_order"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), EXACT).alias(row),
     )
-    state = StructType([StructField("order", field.dataType), StructField("newest", LongType()), StructField("row", StringType())])
+    of_key = StructType([
+        StructField("key", StringType()), StructField("order", field.dataType), StructField("due", LongType()), StructField("row", StringType()),
+    ])
+    state = StructType([StructField("keys", ArrayType(of_key))])
 
     def least(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            yield pd.DataFrame({row: [held.get[2]]})
+        passed = held.getCurrentWatermarkMs()
+        # Per key: the best order value and its row, and when the key is settled.
+        kept: dict[str, tuple[Any, int | None, str]] = {k: (o, due, cells) for k, o, due, cells in held.get[0]} if held.exists else {}
+        met = set()
+        for batch in () if held.hasTimedOut else batches:
+            orders = batch["_order"].astype(object).where(batch["_ordered"] & batch["_order"].notna(), None).tolist()
+            for k, o, ms, cells in zip(batch["_key"].tolist(), orders, batch["_ms"].tolist(), batch[row].tolist(), strict=True):
+                best, due, best_cells = kept.get(k, (None, None, None))
+                if best_cells is None or (o is not None and (best is None or o < best)):
+                    best, best_cells = o, cells
+                if ms != NO_TIME:
+                    due = ms + 1 if due is None else max(due, ms + 1)
+                kept[k] = (best, due if due is None else max(due, passed + 1), best_cells)
+                met.add(k)
+        # Keys of this batch wait for the next one.
+        settled = [k for k, (_, due, _) in kept.items() if due is not None and due < passed and k not in met]
+        if settled:
+            yield pd.DataFrame({row: [kept.pop(k)[2] for k in settled]})
+        if not kept:
             held.remove()
             return
-        best: tuple[Any, Any] = (None, None)
-        newest = None
-        if held.exists:
-            kept_order, newest, kept_row = held.get
-            best = (kept_order, kept_row)
-        for batch in batches:
-            orders = batch["_order"].astype(object).where(batch["_order"].notna(), None).tolist()
-            for value, cells in zip(orders, batch[row].tolist(), strict=True):
-                if best[1] is None or (value is not None and (best[0] is None or value < best[0])):
-                    best = (value, cells)
-            seen = batch[time].dropna()
-            if len(seen):
-                latest = int(seen.max().timestamp() * 1000)
-                newest = latest if newest is None else max(newest, latest)
-        held.update((best[0], newest, best[1]))
-        if newest is not None:
-            held.setTimeoutTimestamp(max(newest, held.getCurrentWatermarkMs()) + 1)
-        return
-        yield
-
-    settled = shown.groupBy(*key).applyInPandasWithState(least, f"{row} string", state, "append", GroupStateTimeout.EventTimeTimeout)
-    return settled.select(F.from_json(row, df.schema, EXACT).alias("r")).select("r.*")
+        held.update(([(k, *rest) for k, rest in kept.items()],))
+        dues = [due for _, due, _ in kept.values() if due is not None]
+        if dues:
+            held.setTimeoutTimestamp(min(dues))
+
+    out = shown.groupBy("_group").applyInPandasWithState(least, f"{row} string", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.from_json(row, df.schema, EXACT).alias("r")).select("r.*")

@@ -159,6 +159,49 @@ def test_least_row_takes_nulls_last(spark, tmp_path):
     assert sorted((r.k, r.rank) for r in run_available(kept, "t").collect()) == [(1, 1.5), (2, None)]
 
 
+def settled_in_turn(files, delay):
+    """What comes out of files that arrive one by one, as (key, rank, second): late rows dropped, a key settled once the watermark passed it."""
+    kept, out, newest, passed = {}, [], None, 0
+    for rows in [*files, []]:
+        met = set()
+        for key, rank, second in rows:
+            if second is not None and second <= passed:
+                continue
+            best, due = kept.get(key, (None, None))
+            if best is None or (rank is not None and (best[1] is None or rank < best[1])):
+                best = (key, rank, second)
+            kept[key] = (best, due if second is None else max(due or 0, second))
+            met.add(key)
+        out += [kept.pop(k)[0] for k in [k for k, (_, due) in kept.items() if due is not None and due < passed and k not in met]]
+        newest = max([newest or 0, *[s for _, _, s in rows if s is not None]])
+        passed = max(passed, newest - delay)
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_keys_that_share_a_state_settle_one_by_one(spark, tmp_path, groups):
+    draw = random.Random(groups)
+    big = 2**53
+    files = [
+        [(draw.randrange(9), draw.choice([None, *range(big, big + 50)]), draw.choice([None, *[draw.randrange(300) + 200 * i for _ in range(9)]])) for _ in range(12)]
+        for i in range(1, 9)
+    ]
+    files = [[*f, (100 + i, 0, None), (200 + i, i, 200 * i + 300)] for i, f in enumerate(files)]
+    files[0] += [(50, 4, 250), (50, None, 260)]
+    files[1] += [(None, None, 480), (None, big + 1, None), (None, big, 450)]
+    files[4] += [(50, 9, 1090)]
+    for rows in files:
+        df = spark.createDataFrame(rows, "k long, rank long, s long").select("k", "rank", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = arriving(spark, tmp_path / "in", "k long, rank long, ts timestamp")
+    got = run_available(S.keep_least_in_watermark(stream, ["k"], "rank", "ts", "250 seconds", groups), "t", str(tmp_path / "query"))
+    rows = got.select("k", "rank", F.unix_seconds("ts")).collect()
+    assert sorted((tuple(r) for r in rows), key=str) == settled_in_turn(files, 250)
+    assert {(50, 4, 250), (50, 9, 1090), (None, big, 450)} < {tuple(r) for r in rows}
+    held = spark.read.format("statestore").load(str(tmp_path / "query" / "progress"))
+    assert 0 < held.count() <= groups
+
+
 def test_notes_without_an_event(spark, tmp_path):
     draw = random.Random(2)
     made = [(i, draw.randrange(3000)) for i in range(120)]
