@@ -12,7 +12,10 @@ WHITESPACE = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = r"(?U)[\x1c-\x1f\s]+"
+# The same as a regular expression. Listed, since (?U) looks up every character's properties.
+WHITESPACE_RUN = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# Text without any of these is stripped and has no run but single spaces.
+UNEVEN = "^ | $|  |[^ -~]"
 
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
@@ -32,8 +35,11 @@ def blank_to_null(value: Column) -> Column:
 
 
 def collapse(value: Column) -> Column:
-    """Strip, then replace every inner whitespace run by one space."""
-    return F.regexp_replace(strip(value), WHITESPACE_RUN, " ")
+    """Strip, then replace every inner whitespace run by one space.
+
+    Most cells are printable ASCII with single spaces inside; only the others are changed.
+    """
+    return F.when(value.rlike(UNEVEN), F.regexp_replace(strip(value), WHITESPACE_RUN, " ")).otherwise(value)
 
 
 def number_text(value: Column, dtype: T.DataType) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,13 +13,19 @@ from rowloom.functions.text import blank_to_null, collapse, strip
 from rowloom.plans.catalog import union_all
 
 
-def _map_text(df: DataFrame, change) -> DataFrame:
-    return df.select(
-        *[
-            change(f.name, F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+def _map_text(df: DataFrame, changes: Sequence[Callable[[Column], Column]], apart: Mapping[str, Column] | None = None) -> DataFrame:
+    """Change every text cell, one change after the other; columns in ``apart`` are replaced by what is given there.
+
+    A change is written once, for an array of a row's cells. Written out per column it makes generated methods
+    of more than 8,000 bytes, which the JVM doesn't compile.
+    """
+    apart = apart or {}
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in apart]
+    if not texts:
+        return df.withColumns(apart) if apart else df
+    changed = reduce(F.transform, changes, F.array(*[F.col(c) for c in texts]))
+    staged = df.select(*[apart[c].alias(c) if c in apart else F.col(c) for c in df.columns if c not in texts], changed.alias("_texts"))
+    return staged.select(*[F.get("_texts", F.lit(texts.index(c))).alias(c) if c in texts else F.col(c) for c in df.columns])
 
 
 def _is_text(df: DataFrame, name: str) -> bool:
@@ -27,7 +34,7 @@ def _is_text(df: DataFrame, name: str) -> bool:
 
 def silver_clean(df: DataFrame, key: str) -> DataFrame:
     """Strip text; blanks become null, except in the key."""
-    return _map_text(df, lambda name, value: strip(value) if name == key else blank_to_null(strip(value)))
+    return _map_text(df, [strip, blank_to_null], {key: strip(F.col(key))} if _is_text(df, key) else None)
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -43,7 +50,7 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def gold_normalize(df: DataFrame) -> DataFrame:
     """Strip text and collapse inner whitespace."""
-    return _map_text(df, lambda name, value: collapse(value))
+    return _map_text(df, [collapse])
 
 
 def to_layer(df: DataFrame, layer: str, key: str, order: str) -> DataFrame:

@@ -43,8 +43,15 @@ def cell_draw_text(table: str, column: str, row_draw: str) -> str:
 
     One draw decides about a cell: its size whether, its lowest bit how.
     """
-    flip = rng.salts(0, f"{table}.{column}")[0]
-    mixed = f"((({row_draw} ^ {flip}L) * {rng.MIX}L) & {rng.LOW32}L)"
+    return _mixed(row_draw, _flip(table, column))
+
+
+def _flip(table: str, column: str) -> str:
+    return f"{rng.salts(0, f'{table}.{column}')[0]}L"
+
+
+def _mixed(row_draw: str, flip: str) -> str:
+    mixed = f"((({row_draw} ^ {flip}) * {rng.MIX}L) & {rng.LOW32}L)"
     return f"({mixed} ^ shiftright({mixed}, 16))"
 
 
@@ -113,22 +120,20 @@ def apply_messiness(
     staged = df.withColumns(
         {"_touched": touched, "_band": F.expr(band), "_row": F.expr(row_draw_text(seed, table, key))}
     ).withColumns({"_fault": F.expr(f"IF(_touched AND _band < {len(names)}, _band, -1)")})
-    cells = {c: cell_draw_text(table, c, "_row") for c in [*texts, *numbers]}
-    drawn = staged.select(
-        *df.columns, "_fault", *[F.expr(f"{draw} AS `_cell_{c}`") for c, draw in cells.items()]
+    # Only touched rows draw for their cells. Draws and texts are arrays, so that a fault is written once and not once per column:
+    # that makes generated methods of more than 8,000 bytes, which the JVM doesn't compile.
+    flips = ", ".join(_flip(table, c) for c in [*texts, *numbers])
+    draws = f"IF(_fault >= 0, transform(array({flips}), flip -> {_mixed('_row', 'flip')}), NULL) AS _cells"
+    drawn = staged.select(*df.columns, "_fault", F.expr(draws))
+    faults = " ".join(
+        f"WHEN _fault = {i} THEN {MUTATORS[fault]('cell', 'get(_cells, at)')}" for i, fault in enumerate(names) if fault in MUTATORS
     )
-    columns = []
-    for name in df.columns:
-        if name not in texts:
-            columns.append(f"`{name}`")
-            continue
-        cell = f"`_cell_{name}`"
-        faults = " ".join(
-            f"WHEN _fault = {i} THEN {MUTATORS[fault](f'`{name}`', cell)}"
-            for i, fault in enumerate(names) if fault in MUTATORS
-        )
-        columns.append(f"CASE WHEN _fault = -1 THEN `{name}` {faults} ELSE `{name}` END AS `{name}`")
+    held = ", ".join(f"`{c}`" for c in texts)
+    if texts:
+        shaken = f"IF(_fault >= 0, transform(array({held}), (cell, at) -> CASE {faults} ELSE cell END), NULL) AS _texts"
+        drawn = drawn.select("*", F.expr(shaken))
+    columns = [f"IF(_fault >= 0, get(_texts, {texts.index(c)}), `{c}`) AS `{c}`" if c in texts else f"`{c}`" for c in df.columns]
     if numbers:
-        quoted = " + ".join(f"int({number_hit(f'`{c}`', f'`_cell_{c}`')})" for c in numbers)
+        quoted = " + ".join(f"int({number_hit(f'`{c}`', f'get(_cells, {i})')})" for i, c in enumerate(numbers, len(texts)))
         columns.append(f"IF(_fault = {names.index('numbers')}, {quoted}, 0) AS as_text_columns")
     return drawn.selectExpr(*columns)

@@ -1,4 +1,5 @@
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
@@ -171,3 +172,24 @@ def test_flow_rows_show_cells_of_every_stage(spark):
     tags = "2024-01-01T00:00:54|batch_3|INSERT|2024-01-01T00:00:54|-"
     assert got["bronze", 3] == got["silver", 3] == got["gold", 3] == f"name 3|-|{tags}"
     assert got["shared", 3].endswith(f"|-|{tags}") and "name 3" not in got["shared", 3]
+
+
+def test_wide_tables_make_no_huge_methods(spark):
+    """The JVM doesn't compile methods of more than 8,000 bytes."""
+    # Names as those inside the lambdas must not matter.
+    names = ["cell", "at", "flip", *[f"c{i}" for i in range(9)]]
+    wide = spark.range(300).select("id", *[F.concat(F.lit(f"Row  {c} 　of "), F.col("id").cast("string")).alias(c) for c in names])
+    messy = messiness.apply_messiness(wide, "id", "chaotic", 1, "t")
+    gold = layers.gold_normalize(layers.silver_clean(messy, "id"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", gold._jdf.queryExecution().explainString(mode))]
+    assert sizes and max(sizes) < 8000
+    rows = gold.collect()
+    assert {tuple(r[c].lower() for c in names) for r in rows} == {tuple(f"row {c} of {i}" for c in names) for i in range(300)}
+    touched = sum(any(r[c] != f"Row {c} of {r.id}" for c in names) for r in rows)
+    assert 0 < touched < 300
+    drawn = wide.select("id", *[F.expr(messiness.casing(c, messiness.cell_draw_text("t", c, messiness.row_draw_text(1, "t", "id")))).alias(c) for c in names])
+    cased = {r.id: r for r in drawn.collect()}
+    for r in rows:
+        if any(r[c] != f"Row {c} of {r.id}" for c in names):
+            assert [r[c] for c in names] == [" ".join(cased[r.id][c].split()) for c in names]
